@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items are sequences of normalised words (lower case, outer punctuation stripped). A document is contaminated by
+Texts and items are sequences of normalised words (runs of letters and digits, in lower case). A document is contaminated by
 an item of m words if some stretch of it is within edit distance floor((1 - similarity) * m), in words, of the item.
 
 * Region filter, lossless by the q-gram lemma: among any ten consecutive item words with at most two edits, five of the
@@ -19,11 +19,10 @@ The items go to the executors in blocks of a checked size; each block is matched
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
@@ -31,27 +30,50 @@ from . import common
 #: Words of items in a block at most (a larger item is a block of its own).
 BLOCK_WORDS = 2_000_000
 SAMPLES = 4
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PAD = np.uint64(0)
 
 
-class WordIds(dict):
-    """64-bit id of each raw word's normal form, remembered; 0 for a word without letter or digit."""
+_BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        norm = word.lower()
-        if not (norm.isalnum()):
-            norm = _EDGE.sub("", norm)
-        self[word] = h = xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")) | 1 if norm else 0
-        return h
 
+@lru_cache(maxsize=1)
+def _alnum() -> np.ndarray:
+    """Whether a code point is a letter or a digit."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
-def word_ids(text: str | None, ids: WordIds) -> np.ndarray:
-    """Ids of the words; those without a letter or digit are left out."""
-    a = np.array([ids[w] for w in (text or "").split()], np.uint64)
-    return a[a != 0]
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64, for i < n."""
+    with np.errstate(over="ignore"):
+        up = np.full(n, np.uint64(_BASE))
+        down = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def word_ids(texts: list[str | None], step: int = 1 << 18) -> list[np.ndarray]:
+    """64-bit ids of the words (runs of letters and digits, lower case) of each text.
+
+    A word's id is a polynomial hash of its code points, taken from running sums over many texts at once.
+    """
+    out = []
+    for a, b in common.batches(texts, step):
+        low = [(t or "").lower() for t in texts[a:b]]
+        codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(codes)
+        up, down = _powers(1 << max(18, n.bit_length()))
+        mask = np.zeros(n + 2, np.int8)
+        mask[1:-1] = _alnum()[codes]
+        turn = np.diff(mask)
+        starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+            ids = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
+        ends_of_texts = np.cumsum([len(t) + 1 for t in low])
+        out += np.split(ids, np.searchsorted(starts, ends_of_texts[:-1]))
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,17 +89,22 @@ def pairs(a: np.ndarray) -> np.ndarray:
 
 
 def embed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK walks (len(starts), steps) over flat[start:end]; PAD after the end."""
+    """CGK walks (steps, len(starts)) over flat[start:end]; PAD after the end."""
     out = np.empty((steps, len(starts)), np.uint64)
     at = starts.copy()
     padded = np.append(flat, PAD)
-    limit = len(flat)
+    odd = mix(np.arange(1, steps + 1, dtype=np.uint64) + np.uint64(seed * 1009)) | np.uint64(1)
     for j in range(steps):
-        w = np.where(at < ends, padded[np.minimum(at, limit)], PAD)
+        w = padded[at]
+        w[at >= ends] = PAD
         out[j] = w
+        # the step's random bit of the word: the top bit of its product with the step's odd number
         with np.errstate(over="ignore"):
-            at += (mix(w + np.uint64((seed * 1009 + j) * 2 + 1)) & np.uint64(1)).astype(np.int64)
-    return out.T
+            w *= odd[j]
+        w >>= np.uint64(63)
+        at += w.view(np.int64)
+        np.minimum(at, ends, out=at)
+    return out
 
 
 def length_class(m: int) -> int:
@@ -115,7 +142,7 @@ class Index:
     short_need: int
     lengths: list[int]
     reps: int
-    tables: list  # [length][rep] -> (samples (tables, SAMPLES), sorted signatures, item numbers)
+    tables: list  # [length][rep] -> (samples (tables, SAMPLES), sorted signatures, item numbers, low bits)
     most: int
 
 
@@ -126,17 +153,18 @@ def tables_needed(share: float, recall: float, reps: int) -> int:
 
 
 def signatures(walk: np.ndarray, samples: np.ndarray, salt: int) -> np.ndarray:
+    """(tables, windows): a hash of the words at each table's sampled steps."""
     with np.errstate(over="ignore"):
-        acc = np.full((walk.shape[0], len(samples)), np.uint64(salt + 1))
+        acc = np.full((len(samples), walk.shape[1]), np.uint64(salt + 1))
         for s in range(samples.shape[1]):
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + walk[:, samples[:, s]])
-        return acc + np.arange(len(samples), dtype=np.uint64)[None]
+            acc *= np.uint64(0x9E3779B97F4A7C15)
+            acc += walk[samples[:, s]]
+        return mix(acc) + np.arange(len(samples), dtype=np.uint64)[:, None]
 
 
-def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: float = 0.995, share: float = 0.65, reps: int = 5, seed: int = 11) -> Index:
+def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: float = 0.995, share: float = 0.55, reps: int = 5, seed: int = 11) -> Index:
     """Index of a block of items. ``share``: of the steps on which the walks of a pair at the threshold agree."""
-    cache = WordIds()
-    seqs = [word_ids(t, cache) for t in texts]
+    seqs = word_ids(texts)
     keep = [i for i, s in enumerate(seqs) if len(s)]
     ids, items = [ids[i] for i in keep], [seqs[i] for i in keep]
     of = lambda a, b: [i for i, s in enumerate(items) if a <= len(s) < b]
@@ -156,7 +184,10 @@ def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: f
             samples = r.integers(0, max(1, m * 3 // 2), (per, SAMPLES))
             sig = signatures(embed(flat, starts, starts + m, max(1, m * 3 // 2), rep), samples, m).ravel()
             order = np.argsort(sig, kind="stable")
-            row.append((samples, sig[order], np.repeat(np.array(mine), per)[order]))
+            # most signatures are told off by a table of low bits, before the sorted array is searched
+            low = np.zeros(1 << max(14, len(sig).bit_length() + 6), bool)
+            low[sig & np.uint64(len(low) - 1)] = True
+            row.append((samples, sig[order], np.tile(np.array(mine), per)[order], low))
         tables.append(row)
     post = lambda rows, f=pairs: Postings([f(items[i]) for i in rows], rows)
     return Index(ids, items, similarity, post(of(10, 1 << 60)), post(of(2, 10)), post(of(1, 2), lambda s: s), max(1, need), lengths, reps, tables, max((len(s) for s in items), default=0))
@@ -219,7 +250,7 @@ def regions(ix: Index, a: np.ndarray) -> list[tuple[int, int]]:
     return [(max(0, int(f) - wide), min(len(a), int(x) + 2 + wide)) for f, x in zip(firsts, lasts)]
 
 
-def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 16) -> list[list[tuple[int, int]]]:
+def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 13) -> list[list[tuple[int, int]]]:
     """(item number, edit distance) of each item that each document holds."""
     found: list[dict[int, int]] = [{} for _ in docs]
     spots = [(d, s, e) for d, a in enumerate(docs) for s, e in regions(ix, a)]
@@ -228,9 +259,10 @@ def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 16) -> list[list[t
     for k, spot in enumerate(spots):
         # a long region is cut into overlapping pieces, so that a step stays bounded
         d, s, e = spot
-        while e - s > step:
-            _match_part(ix, docs, [(d, s, s + step)], found)
-            s += step - 2 * ix.most - 2
+        most = max(step, 8 * ix.most)
+        while e - s > most:
+            _match_part(ix, docs, [(d, s, s + most)], found)
+            s += most - 2 * ix.most - 2
         part.append((d, s, e))
         n += e - s
         if n >= step or k + 1 == len(spots):
@@ -250,12 +282,14 @@ def _match_part(ix: Index, docs, spots, found) -> None:
     for rep in range(ix.reps):
         walk = embed(flat, starts, limit, max(1, ix.most * 3 // 2), rep)
         for m, row in zip(ix.lengths, ix.tables):
-            samples, sig, item = row[rep]
+            samples, sig, item, low = row[rep]
             own = signatures(walk, samples, m).ravel()
+            maybe = np.flatnonzero(low[own & np.uint64(len(low) - 1)])
+            own = own[maybe]
             at = np.searchsorted(sig, own)
             at[at == len(sig)] = 0
             for h in np.flatnonzero(sig[at] == own):
-                j, w = int(at[h]), int(h) // len(samples)
+                j, w = int(at[h]), int(maybe[h]) % len(flat)
                 while j < len(sig) and sig[j] == own[h]:
                     met.setdefault((int(owner[w]), int(item[j])), set()).add(w)
                     j += 1
@@ -263,13 +297,11 @@ def _match_part(ix: Index, docs, spots, found) -> None:
         d, s, e = spots[o]
         k, m = edits(len(ix.items[i]), ix.similarity), len(ix.items[i])
         base = int(ends[o] - sizes[o])
-        done = -1
-        for w in sorted(at):
-            a, b = max(0, w - base - 2 * k - 1), min(e - s, w - base + m + 2 * k + 1)
-            if b <= done:
-                continue
-            done = b
-            x = edit_within(ix.items[i], flat[base + a : base + b])
+        # windows that overlap are verified together
+        w = np.array(sorted(at)) - base
+        first = np.flatnonzero(np.diff(w, prepend=w[0] - m - 4 * k - 3) > m + 4 * k + 2)
+        for p, q in zip(w[first], w[np.append(first[1:], len(w)) - 1]):
+            x = edit_within(ix.items[i], flat[base + max(0, p - 2 * k - 1) : base + min(e - s, q + m + 2 * k + 1)])
             if x <= k and x < found[d].get(i, k + 1):
                 found[d][i] = x
 
@@ -295,12 +327,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], item_c
         last = b + 1 == blocks
 
         def run(it, ix=ix, last=last):
-            cache = WordIds()
             for batch in it:
                 text = common.column(batch, "__text")
                 for a, z in common.batches(text):
                     part = batch.slice(a, z - a)
-                    got = match(ix, [word_ids(t, cache) for t in text[a:z]])
+                    got = match(ix, word_ids(text[a:z]))
                     before = part.column(len(names) + 1).to_pylist()
                     hits = [sorted(old + [{"item": ix.ids[i], "edits": x, "words": len(ix.items[i])} for i, x in new], key=lambda h: (h["item"] is None, h["item"])) for old, new in zip(before, got)]
                     yield {c: part.column(i) for i, c in enumerate(names)} | {"hits": hits} | ({} if last else {"__text": part.column(len(names))})
