@@ -16,27 +16,28 @@ from spanalytics.llm.registry import tokenizer_files
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language one of the models accepts; null and letterless texts are rejected."""
     model = langid.train(docs, common.fold(F.col("doc_id")) != 2)
-    return langid.identify(docs, model, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    rejected = common.free(docs.columns, ["rejected"])[0]
+    return langid.identify(docs, model, docs.columns).filter(~F.col(rejected)).select(*map(common.quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies, 5-word shingles at similarity 0.8 or more."""
     kept = neardup.near_duplicates(docs, "doc_id").filter("kept").select("doc_id").distinct()
     known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.filter("doc_id is null")).select(*docs.columns)
+    return known.union(docs.filter("doc_id is null")).select(*map(common.quoted, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no benchmark item."""
     got = decontaminate.decontaminate(docs, common.read(spark, sf_dir, "benchmark"), docs.columns)
-    return got.filter(F.size("hits") == 0).select(*docs.columns)
+    return got.filter(F.size(common.free(docs.columns, ["hits"])[0]) == 0).select(*map(common.quoted, docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts."""
     got = pii.find_personal_data(docs, docs.columns)
-    text = F.col("redacted")
-    return got.withColumns({"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    spans, text = common.free(docs.columns, ["spans", "redacted"])
+    return got.withColumns({"text": F.col(text), "n_chars": F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*map(common.quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -97,16 +99,53 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with a generator of dicts of columns for each batch."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
+
+def free(taken: list[str], names: list[str]) -> list[str]:
+    """Names for result columns: one that a kept column already has (in any case) gets underscores at its end."""
+    used, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """mapInArrow with a generator of dicts of columns, by name, for each batch."""
     ship(df.sparkSession)
-    fields = to_arrow_schema(StructType.fromDDL(schema))
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
 
     def mapped(it):
         for cols in run(it):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in fields], schema=fields)
 
-    return df.mapInArrow(mapped, schema)
+    return df.mapInArrow(mapped, kind)
+
+
+def per_text(docs: DataFrame, keep: list[str], results: str, work) -> DataFrame:
+    """``keep`` columns of every row with the columns ``results`` (DDL) that ``work(texts)`` gives, in that order.
+
+    work sees bounded runs of whole texts. Result names that clash with kept ones get underscores, see ``free``.
+    """
+    ship(docs.sparkSession)
+    kept = docs.select(*map(quoted, keep))
+    wanted = StructType.fromDDL(results)
+    names = free(keep, wanted.names)
+    kind = StructType([*kept.schema.fields, *(StructField(n, f.dataType) for n, f in zip(names, wanted))])
+    fields = to_arrow_schema(kind)
+
+    def mapped(it):
+        for batch in it:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in batches(texts):
+                part = batch.slice(a, b - a)
+                own = [part.column(i) for i in range(len(keep))]
+                new = [pa.array(x, f.type) for x, f in zip(work(texts[a:b]), list(fields)[len(keep) :])]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(own + new, fields)], schema=fields)
+
+    return docs.select(*map(quoted, keep), F.col("text").alias(free(keep, ["text_in"])[0])).mapInArrow(mapped, kind)

@@ -307,35 +307,25 @@ def _match_part(ix: Index, docs, spots, found) -> None:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], item_col: str = "item_id", similarity: float = 0.8) -> DataFrame:
-    """``keep`` columns of every row of ``docs`` with hits: array of (item, edits, words), by item.
+    """``keep`` columns of every row of ``docs`` with hits (underscores added if a kept column has that name): array of
+    (item, edits, words), by item.
 
     A null, empty or wordless text holds nothing; a null, empty or wordless item is held by nothing. Repeated items (or
     ids) each count; repeated documents get the same hits each. Without items every document has no hits.
     """
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    total = benchmark.agg(F.sum(words)).first()[0] or 0
+    total = benchmark.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    kept = docs.select(*keep).schema
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    hit = f"array<struct<item:{item_type},edits:int,words:int>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", hits {hit}"
-    names = [f.name for f in kept]
-    out = docs.select(*keep, F.col("text").alias("__text"), F.array().cast(hit).alias("hits"))
+    hit = f"array<struct<item:{benchmark.schema[item_col].dataType.simpleString()},edits:int,words:int>>"
+    out, cols = docs, []
     for b in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(item_col, "text").orderBy(item_col, "text").collect()
         ix = build([r[0] for r in rows], [r[1] for r in rows], similarity)
-        last = b + 1 == blocks
-
-        def run(it, ix=ix, last=last):
-            for batch in it:
-                text = common.column(batch, "__text")
-                for a, z in common.batches(text):
-                    part = batch.slice(a, z - a)
-                    got = match(ix, word_ids(text[a:z]))
-                    before = part.column(len(names) + 1).to_pylist()
-                    hits = [sorted(old + [{"item": ix.ids[i], "edits": x, "words": len(ix.items[i])} for i, x in new], key=lambda h: (h["item"] is None, h["item"])) for old, new in zip(before, got)]
-                    yield {c: part.column(i) for i, c in enumerate(names)} | {"hits": hits} | ({} if last else {"__text": part.column(len(names))})
-
-        full = schema if last else schema.replace(f", hits {hit}", f", `__text` string, hits {hit}")
-        out = common.arrow(out, run, full)
-    return out
+
+        def work(texts, ix=ix):
+            return [[[{"item": ix.ids[i], "edits": x, "words": len(ix.items[i])} for i, x in found] for found in match(ix, word_ids(texts))]]
+
+        before = [c for c in dict.fromkeys([*keep, "text"])] if b + 1 < blocks else keep
+        out = common.per_text(out, [*before, *cols], f"hits {hit}", work)
+        cols.append(out.columns[-1])
+    name = common.free(keep, ["hits"])[0]
+    return out.select(*map(common.quoted, keep), F.array_sort(F.concat(*map(common.quoted, cols))).alias(name))

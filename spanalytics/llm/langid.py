@@ -235,16 +235,16 @@ def train(docs: DataFrame, learn, per_lang: int = 1500, calibrate: float = 0.25,
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred, score, cross_entropy and rejected."""
-    kept = docs.select(*keep).schema
-    passed = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
+    """``keep`` columns of every row of ``docs`` with lang_pred, score, cross_entropy and rejected.
 
-    def run(it):
-        for batch in it:
-            text = common.column(batch, "__text")
-            for a, b in common.batches(text):
-                part = batch.slice(a, b - a)
-                yield {c: part.column(i) for i, c in enumerate(passed)} | predict(model, text[a:b])
+    A null, empty or letterless text is ``und``, scores 0 and is rejected; so is every text if no language was learned.
+    Repeated rows give repeated results, an empty table an empty one; result names that clash with kept columns get
+    underscores.
+    """
+    names = ("lang_pred", "score", "cross_entropy", "rejected")
+
+    def work(texts):
+        got = predict(model, texts)
+        return [got[n] for n in names]
 
-    return common.arrow(docs.select(*keep, F.col("text").alias("__text")), run, schema)
+    return common.per_text(docs, keep, "lang_pred string, score double, cross_entropy double, rejected boolean", work)

@@ -15,7 +15,7 @@ from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import common
 
@@ -327,7 +327,7 @@ def schedule(found: dict[Span, float]) -> list[Span]:
         if chosen:
             out.append(spans[i - 1])
         i = j if chosen else i - 1
-    return out
+    return out[::-1]
 
 
 def network_spans(p, texts: list[str], step: int = 2048) -> list[list[Span]]:
@@ -392,24 +392,15 @@ def find_personal_data(docs: DataFrame, keep: list[str], params: dict | None = N
     """``keep`` columns with base (array of kind, start, end), spans (the same with the network's) and redacted text.
 
     Offsets are code points, ends exclusive. A null text has no spans and stays null; an empty one has none. Every row is
-    handled alone, so repeated rows give repeated results, and an empty table an empty one.
+    handled alone, so repeated rows give repeated results, and an empty table an empty one. Result names that clash
+    with kept columns get underscores.
     """
     p = params or train()
-    kept = docs.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    schema += ", base array<struct<kind:int,start:int,end:int>>, spans array<struct<kind:int,start:int,end:int>>, redacted string"
-
-    def run(it):
-        names = ("kind", "start", "end")
-        for batch in it:
-            text = common.column(batch, "__text")
-            for a, b in common.batches(text):
-                base, every = detect(p, text[a:b])
-                part = batch.slice(a, b - a)
-                yield {f.name: part.column(i) for i, f in enumerate(kept)} | {
-                    "base": [[dict(zip(names, s)) for s in x] for x in base],
-                    "spans": [[dict(zip(names, s)) for s in x] for x in every],
-                    "redacted": [redacted(t, s) for t, s in zip(text[a:b], every)],
-                }
-
-    return common.arrow(docs.select(*keep, F.col("text").alias("__text")), run, schema)
+    spans = "array<struct<kind:int,start:int,end:int>>"
+
+    def work(texts):
+        base, every = detect(p, texts)
+        rows = [[[dict(zip(("kind", "start", "end"), s)) for s in x] for x in found] for found in (base, every)]
+        return [*rows, [redacted(t, s) for t, s in zip(texts, every)]]
+
+    return common.per_text(docs, keep, f"base {spans}, spans {spans}, redacted string", work)

@@ -3,7 +3,7 @@
 Base spans are matches of three patterns. Beside them, every run of 20 or more key characters that overlaps no base span
 is a token. Its encoding is inferred (hex, base32, upper case and digits, letters, alphanumeric, base64), and three
 tests are taken over that alphabet: chi-squared uniformity, Wald-Wolfowitz runs about the middle, and lag-1 serial
-correlation. Fisher's statistic S of the three is small for random strings. Tokens of letters only are the reference for
+correlation. Fisher's statistic S of the three is small for random strings. Tokens made of words are the reference for
 ordinary text; the share of them, in a length band, with an S as small is a token's p-value for "ordinary". The
 Benjamini-Hochberg rule within the band, over histograms of S, gives the band's cutoff, so long and short tokens
 are held to the same false-discovery rate. Thresholds are one row a band.
@@ -21,6 +21,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"(?<![0-9a-f])([0-9a-f]{24,})"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})"
+#: Tokens that are words, or words and short numbers joined by signs: the reference for ordinary text.
+ORDINARY = "^[A-Z]?[a-z]+([-_/=+]+([A-Z]?[a-z]+|[0-9]{1,4}))*[-_/=+]*$"
 #: First lengths of the bands, and the highest bin of S.
 BANDS, TOP = (20, 32, 48, 80), 240
 
@@ -85,7 +87,7 @@ def band(length: Column) -> Column:
 
 def cutoffs(tokens: DataFrame, rate: float) -> DataFrame:
     """(band, cutoff): the largest bin of S taken for random; bands without one are left out. tokens: (tok, bin)."""
-    ordinary = F.col("tok").rlike("^[A-Z]?[a-z]+$")
+    ordinary = F.col("tok").rlike(ORDINARY)
     n = tokens.groupBy(band(F.length("tok")).alias("band"), "bin").agg(F.count_if(ordinary).alias("ref"), F.count_if(~ordinary).alias("cand"))
     up_to = W.partitionBy("band").orderBy("bin")
     whole = W.partitionBy("band")
@@ -97,29 +99,28 @@ def cutoffs(tokens: DataFrame, rate: float) -> DataFrame:
 def find_secrets(docs: DataFrame, keep: list[str], rate: float = 0.01) -> DataFrame:
     """``keep`` columns with base and spans: arrays of (start, kind, end), by start and then by kind.
 
-    Offsets are code points, ends exclusive. A null text counts as empty: no spans. Repeated rows give repeated results, and an empty table an empty one.
+    Offsets are code points, ends exclusive. A null text counts as empty: no spans. Repeated rows give repeated results,
+    and an empty table an empty one. Result names that clash with kept columns get underscores.
     """
     t = "coalesce(text, '')"
     three = [f"transform(filter({matches(t, p, g)}, x -> length(x.v) >= {least}), x -> struct(x.s as start, {k} as kind, x.e as end))" for k, (p, g, least) in enumerate(((ASSIGN, 2, 6), (ACCESS, 1, 20), (HEX, 1, 24)))]
-    found = docs.select(*keep, F.expr(f"array_sort(concat({', '.join(three)}))").alias("base"), F.expr(matches(t, TOKEN)).alias("tokens"))
+    kept = F.struct(*map(common.quoted, keep)).alias("kept")
+    found = docs.select(kept, F.expr(f"array_sort(concat({', '.join(three)}))").alias("base"), F.expr(matches(t, TOKEN)).alias("tokens"))
     own = "filter(tokens, x -> not exists(base, b -> b.start < x.e and x.s < b.end))"
-    scored = found.select(*keep, "base", F.expr(f"transform({own}, x -> struct(x.s as s, x.e as e, x.v as tok, cast(least({TOP}, floor({score('x.v')})) as int) as bin))").alias("tokens"))
+    scored = found.select("kept", "base", F.expr(f"transform({own}, x -> struct(x.s as s, x.e as e, x.v as tok, cast(least({TOP}, floor({score('x.v')})) as int) as bin))").alias("tokens"))
     scored = common.materialize(scored, "secrets")
     limits = {r["band"]: r["cutoff"] for r in cutoffs(scored.select(F.explode("tokens").alias("x")).select("x.tok", "x.bin"), rate).collect()}  # at most a row a band
-    limit = F.lit(-1)
-    out = scored
-    if limits:
-        def taken(x):
-            at = limit
-            for b, c in limits.items():
-                at = F.when(band(F.length(x["tok"])) == b, F.lit(c)).otherwise(at)
-            return (x["bin"] <= at) & ~x["tok"].rlike("^[A-Z]?[a-z]+$")
-
-        more = F.transform(F.filter("tokens", taken), lambda x: F.struct(x["s"].alias("start"), F.lit(3).alias("kind"), x["e"].alias("end")))
-        out = out.withColumn("spans", F.array_sort(F.concat("base", more)))
-    else:
-        out = out.withColumn("spans", F.col("base"))
-    return out.select(*keep, "base", "spans")
+
+    def taken(x):
+        at = F.lit(-1)
+        for b, c in limits.items():
+            at = F.when(band(F.length(x["tok"])) == b, F.lit(c)).otherwise(at)
+        return (x["bin"] <= at) & ~x["tok"].rlike(ORDINARY)
+
+    more = F.transform(F.filter("tokens", taken), lambda x: F.struct(x["s"].alias("start"), F.lit(3).alias("kind"), x["e"].alias("end")))
+    spans = F.array_sort(F.concat("base", more)) if limits else F.col("base")
+    names = common.free(keep, ["base", "spans"])
+    return scored.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("base").alias(names[0]), spans.alias(names[1]))
 
 
 def written(spans: str) -> Column:

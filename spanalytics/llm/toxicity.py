@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000, vocabular
     share = min(1.0, most / counts["p"])
     toxic = known.filter("toxic = 1").filter(draw("doc_id", 2) < share).select("doc_id", F.lit(True).alias("hit")).limit(2 * most)
     # whether a text is in the unlabelled sample does not look at its label
-    both = labelled.withColumn("u", draw("text", 1) < min(1.0, most / rows)).join(F.broadcast(toxic), "doc_id", "left").withColumn("p", F.coalesce("hit", F.lit(False)))
+    both = labelled.withColumn("u", draw("text", 1) < min(1.0, most / max(1, rows))).join(F.broadcast(toxic), "doc_id", "left").withColumn("p", F.coalesce("hit", F.lit(False)))
 
     def words(it):
         for batch in it:
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000, vocabular
         if r["u"]:
             x_u.append(ids)
     common.drop_table(seen)
-    if not x_p or not index:
+    if not x_p or not x_u or not index:
         return Model(index, np.zeros(len(index)), float(np.log(prior / (1 - prior + 1e-9))), prior)
     w, b = fit(x_p, x_u, len(index), prior)
     return Model(index, w, b, prior)
@@ -130,15 +130,9 @@ def scores(m: Model, texts: list[str | None]) -> list[float]:
 
 
 def score_toxicity(docs: DataFrame, m: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row of ``docs`` with its score from 0 to 1."""
-    kept = docs.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
+    """``keep`` columns of every row of ``docs`` with its score from 0 to 1.
 
-    def run(it):
-        for batch in it:
-            text = common.column(batch, "__text")
-            for a, b in common.batches(text):
-                part = batch.slice(a, b - a)
-                yield {f.name: part.column(i) for i, f in enumerate(kept)} | {"score": scores(m, text[a:b])}
-
-    return common.arrow(docs.select(*keep, F.col("text").alias("__text")), run, schema)
+    A null or empty text scores like one without a known word. Repeated rows give repeated results, an empty table an empty
+    one; a result name that clashes with a kept column gets underscores.
+    """
+    return common.per_text(docs, keep, "score double", lambda texts: [scores(m, texts)])

@@ -31,9 +31,9 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
 
 
-def safe_uri(url: str) -> str:
+def safe_uri(url: str | None) -> str:
     """Percent-encodes what may not stand in a header line."""
-    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), url)
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), url or "")
 
 
 def build(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
