@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: UTC for timestamps, LAST_WIN for merged attribute maps, AQE for partition sizes and skewed joins.
+#: UTC for timestamps, LAST_WIN for merged attribute maps, shared partitionings, AQE for partition sizes and skewed joins.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # tables that are dealt by trace stay so for joins on (trace, span): one exchange serves windows, joins and aggregations
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

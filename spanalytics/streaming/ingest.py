@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans import api
 from ..schema import split_valid
 from ..sources import native, otlp
 from ..sources.store import SpanStore
@@ -20,8 +21,15 @@ def notice(store: SpanStore, event: str, spans: DataFrame, batch: int) -> DataFr
     return store.spark.createDataFrame([(event, ack["accepted"], ack["traces"], batch)], "event string, span_count long, trace_count long, batch long").withColumn("at", F.current_timestamp())
 
 
-def start(spark: SparkSession, source: str, store: SpanStore, notices: str, checkpoint: str, kind: str = "native", files_per_batch: int = 100) -> StreamingQuery:
+def refresh(store: SpanStore, views: str) -> None:
+    """Recomputes the overview and the trace list over all spans and writes them as tables below ``views``."""
+    for name, df in (api.overview(store) | {"traces": api.list_traces(store)}).items():
+        df.write.mode("overwrite").parquet(f"{views}/{name}")
+
+
+def start(spark: SparkSession, source: str, store: SpanStore, notices: str, checkpoint: str, kind: str = "native", files_per_batch: int = 100, views: str | None = None) -> StreamingQuery:
     """Runs over the files of ``source`` that have come so far, and stops. kind: native JSON lines, or otlp payloads (a file each).
+    views: where to refresh the batch views after each micro-batch.
 
     A batch that is run again after a failure overwrites its notice and appends rows with the same batch number and
     keys, which the store reads as one version.
@@ -34,6 +42,8 @@ def start(spark: SparkSession, source: str, store: SpanStore, notices: str, chec
     def take(rows: DataFrame, batch: int) -> None:
         good = split_valid(native.rows(rows))[0] if kind == "native" else otlp.parse(rows)[0]
         notice(store, "ingest", good, batch + 1).write.mode("overwrite").parquet(f"{notices}/batch={batch}")
+        if views:
+            refresh(store, views)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

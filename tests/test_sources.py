@@ -114,14 +114,34 @@ def test_store_and_api(spark, tmp_path):
     assert store.spans().isEmpty() and api.health(spark)["ok"]
 
 
+def test_otlp_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text(json.dumps(payload([span(), span(spanId="s2")]), indent=1))
+    (tmp_path / "in/2.json").write_text("broken")
+    store = SpanStore(spark, str(tmp_path / "spans"))
+    ingest.start(spark, str(tmp_path / "in"), store, str(tmp_path / "notices"), str(tmp_path / "checkpoint"), "otlp").awaitTermination()
+    assert store.spans().count() == 2
+
+
+def test_event_time_counts(spark, tmp_path):
+    store = SpanStore(spark, str(tmp_path / "spans"))
+    api.ingest_spans(store, [one(startMs=t, spanId=str(t)) for t in (0, 1000, 400_000)])
+    stream = spark.readStream.schema(store.raw().schema).parquet(store.path)
+    q = ingest.trace_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.spans for r in spark.table("counts").collect()) == [1, 2]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     store = SpanStore(spark, str(tmp_path / "spans"))
-    run = lambda: ingest.start(spark, str(tmp_path / "in"), store, str(tmp_path / "notices"), str(tmp_path / "checkpoint")).awaitTermination()
+    run = lambda: ingest.start(spark, str(tmp_path / "in"), store, str(tmp_path / "notices"), str(tmp_path / "checkpoint"), views=str(tmp_path / "views")).awaitTermination()
     (tmp_path / "in/1.json").write_text("\n".join(json.dumps(x) for x in (one(), one(spanId="b"), one(spanId="c", status="no"))))
     run()
     (tmp_path / "in/2.json").write_text(json.dumps(one(durationMs=50)))
     run()
     assert store.spans().count() == 2 and store.spans().filter("span_id = 'a'").first().duration_ms == 50
+    assert spark.read.parquet(str(tmp_path / "views/totals")).first().spans == 2
+    assert spark.read.parquet(str(tmp_path / "views/traces")).first().duration_ms == 50.0
     got = spark.read.parquet(str(tmp_path / "notices")).orderBy("batch").collect()
     assert [(r.event, r.span_count, r.trace_count) for r in got] == [("ingest", 2, 1), ("ingest", 1, 1)]
