@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     sizes = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     hubs = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("df")).filter("df > 1").select("value", F.col("hub.id").alias("a"), F.col("hub.n").alias("na"))
     star = lists.join(hubs, "value").filter((F.col("id") != F.col("a")) & sizes("n", "na")).select("a", F.col("id").alias("b")).distinct()
-    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
+    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
     sk_reps = reps.select("id", "sketch")
     tried = common.materialize(_estimated(star, sk_reps, k, least), "star")
     rep_texts = docs.select(F.col(id_col).alias("id"), "text").filter("id is not null").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
