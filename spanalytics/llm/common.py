@@ -18,6 +18,8 @@ from pyspark.sql.types import StructField, StructType
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Characters that one vectorised step handles at a time; bounds the memory of the Python workers.
 CHUNK_CHARS = 1_000_000
+#: Bytes of an Arrow batch at most (or one row).
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +48,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once a context; Spark's file server sends it."""
+    """Give the executors' Python workers this package, once a context; Spark's file server sends it.
+
+    Also bounds the Arrow batches of this session by bytes, as ten thousand long texts would be gigabytes.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not getattr(sc, "_llm_shipped", False):
         package = Path(__file__).resolve().parent.parent
         to = Path(tempfile.mkdtemp(prefix="llm-code-")) / f"{package.name}.zip"

@@ -118,8 +118,15 @@ def _estimated(pairs: DataFrame, sk: DataFrame, k: int, least: float) -> DataFra
     return common.arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids``, one row each, written once: the other texts are never shuffled if ids are few."""
+    rows = docs.select(F.col(id_col).alias("id"), "text").join(common.materialize(ids.distinct(), "ids"), "id", "left_semi")
+    return common.materialize(rows.dropDuplicates(["id"]), "texts")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold: 100 * intersection >= percent * union."""
+    texts = _texts(docs, id_col, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(it):
@@ -163,7 +170,7 @@ def _similar(x: list[np.ndarray], y: list[np.ndarray], percent: int, step: int =
     return (100 * both >= percent * (nx[:, None] + ny[None, :] - both)) & (both > 0)
 
 
-def _block_links(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _block_links(groups: DataFrame, docs: DataFrame, id_col: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) between the components of large groups (hub, id, component), enough of them to join the components.
 
     The members outside a group's largest component are dealt into blocks of about BLOCK, and so are all members; each
@@ -172,7 +179,7 @@ def _block_links(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     size = groups.groupBy("hub", "component").agg(F.count("*").alias("size"))
     size = size.groupBy("hub").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top"))
     size = size.select("hub", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).alias("by"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("bx"))
-    rows = common.materialize(groups.join(size, "hub").join(texts, "id"), "groups")
+    rows = common.materialize(groups.join(size, "hub").join(_texts(docs, id_col, groups.select("id")), "id"), "groups")
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     cols = ["hub", "x", "y", "side", "id", "component", "text"]
@@ -237,8 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
     sk_reps = reps.select("id", "sketch")
     tried = common.materialize(_estimated(star, sk_reps, k, least), "star")
-    rep_texts = docs.select(F.col(id_col).alias("id"), "text").filter("id is not null").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    links = common.materialize(_verified(tried, rep_texts, width, percent), "links")
+    links = common.materialize(_verified(tried, docs, id_col, width, percent), "links")
     comp = common.materialize(components(links), "comp")
 
     # completion: lists of up to SMALL members by pairs, larger ones by blocks
@@ -252,9 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     cross = x.join(y, "value").filter((F.col("cx") != F.col("cy")) & sizes("nx", "ny") & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y"))))
     pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     untried = pairs.join(tried, ["a", "b"], "left_anti")
-    large = open_lists.filter(F.col("members") > SMALL).select("hub", "id", "component").distinct()
-    found = common.materialize(_estimated(untried, sk_reps, k, least).union(_block_links(large, rep_texts, width, percent)), "more")
-    more = common.materialize(_verified(found, rep_texts, width, percent), "links")
+    large = common.materialize(open_lists.filter(F.col("members") > SMALL).select("hub", "id", "component").distinct(), "large")
+    found = common.materialize(_estimated(untried, sk_reps, k, least).union(_block_links(large, docs, id_col, width, percent)), "more")
+    more = common.materialize(_verified(found, docs, id_col, width, percent), "links")
     comp = components(links.union(more))
     final = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = sk.select("id", "n").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
