@@ -218,6 +218,17 @@ def test_link(spark):
     assert toolcalls.link(calls.filter("false"), results.filter("false"), {}).isEmpty()
 
 
+def test_arguments_that_are_hard_to_write(spark):
+    odd = {"deep": "[" * 50_000 + "]" * 50_000, "open": "[" * 100_000, "nan": '{"q":NaN}', "huge": '{"q":1e999}', "half": '{"q":"\\ud800","\\udfff":1}', "null": "null", "empty": "", "wide": '{"q":"' + "[{" * 5000 + '"}'}
+    calls = spark.createDataFrame([(1, k, 0, "find", v, []) for k, v in odd.items()], "conv long, call_id string, turn long, name string, arguments string, needs array<string>")
+    results = calls.select("conv", "call_id", F.lit(1).cast("long").alias("turn"), F.lit("x").alias("content"))
+    got = {x.call_id: x for x in toolcalls.link(calls, results, {"find": SCHEMA}).collect()}
+    for k in ("deep", "open", "nan", "huge", "empty"):
+        assert got[k].problems == ["$: not JSON"] and json.loads(got[k].json)["call"]["arguments"] == odd[k]
+    assert json.loads(got["half"].json)["call"]["arguments"] == {"q": "\ud800", "\udfff": 1} and len(got["half"].problems) == 1
+    assert json.loads(got["null"].json)["call"]["arguments"] is None and got["wide"].valid
+
+
 def test_conversation_calls(spark):
     rows = spark.createDataFrame([(1, 0, "system", "s", 1), (1, 1, "user", "hi", 1), (1, 2, "assistant", "ho", 1), (1, 3, "user", None, 1), (None, 0, "user", "x", 1), (2, None, "user", "x", 1), (3, 0, None, "odd", 1), (1, 1, "user", "hi", 1)], "conv_id long, turn long, role string, text string, first long")
     got = toolcalls.link(*toolcalls.conversation_calls(rows), {"reply": toolcalls.REPLY}).collect()
