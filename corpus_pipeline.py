@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("personal data", personal_data), ("packing", pack)]
 
-#: SQL can express neither the models nor the packing; tests/llm/test_pipeline.py compares with brute force.
+#: SQL can express neither the models nor the packing; tests/llm/test_corpus_operators.py compares with brute force.
 ORACLE_SQL = None
 
 

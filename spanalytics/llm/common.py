@@ -24,7 +24,7 @@ BATCH_BYTES = 8 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_llm_shared", None) or "file://" + tempfile.mkdtemp(prefix="llm-")
         spark._llm_shared = found

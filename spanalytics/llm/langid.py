@@ -175,7 +175,8 @@ def predict(m: Model, texts: list[str | None]) -> dict[str, list]:
 def train(docs: DataFrame, learn, per_lang: int = 1500, calibrate: float = 0.25, margin: float = 1.1) -> Model:
     """A model from at most about ``per_lang`` labelled rows of each language among those where ``learn`` holds.
 
-    The sample is drawn by a hash of the text, so it doesn't depend on the partitioning. A share ``calibrate`` of it
+    The sample is drawn by a hash of the text, so it doesn't depend on the partitioning, and holds each text once: a text
+    that a third of all rows copy is one row of it. A share ``calibrate`` of it
     stays out of the counts; in each language and length band, the rejection threshold is ``margin`` times the
     largest cross-entropy seen there, so that no calibration row is rejected.
     """
@@ -188,7 +189,7 @@ def train(docs: DataFrame, learn, per_lang: int = 1500, calibrate: float = 0.25,
     share = F.create_map(*(F.lit(x) for p in counts.items() for x in (p[0], min(1.0, per_lang / p[1]))))
     draw = (F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     keep = F.xxhash64("text", F.lit(8)).bitwiseAND(F.lit(1023)) < int(calibrate * 1024)
-    sample = common.materialize(rows.filter(draw < share[F.col("lang")]).select("lang", "text", keep.alias("held")), "langid")
+    sample = common.materialize(rows.filter(draw < share[F.col("lang")]).select("lang", "text", keep.alias("held")).distinct(), "langid")
 
     def count(it):
         for batch in it:

@@ -21,8 +21,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"(?<![0-9a-f])([0-9a-f]{24,})"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})"
-#: Tokens that are words, or words and short numbers joined by signs: the reference for ordinary text.
-ORDINARY = "^[A-Z]?[a-z]+([-_/=+]+([A-Z]?[a-z]+|[0-9]{1,4}))*[-_/=+]*$"
+#: Tokens that are words, or words and short numbers joined by signs: the reference for ordinary text. The loop is possessive:
+#: a word ends where a sign comes, so nothing is lost, and Java matches it without recursion however long the token is.
+ORDINARY = "^[A-Z]?[a-z]+(?:[-_/=+]+(?:[A-Z]?[a-z]+|[0-9]{1,4}))*+[-_/=+]*$"
 #: First lengths of the bands, and the highest bin of S.
 BANDS, TOP = (20, 32, 48, 80), 240
 

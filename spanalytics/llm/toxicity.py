@@ -75,7 +75,8 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior
 
 def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000, vocabulary: int = 4096, z: float = 7.0) -> Model:
     """A model from at most about ``most`` confirmed toxic rows and as many unlabelled ones, both among rows of ``docs``
-    where ``learn`` holds, drawn by hashes of the id and the text. With no confirmed row every text scores 0.
+    where ``learn`` holds, drawn by hashes of the id, and for the unlabelled ones of id and text: copies of a text are drawn
+    one by one, so a text that a third of all rows copy can't fill the sample. With no confirmed row every text scores 0.
     """
     labelled = docs.select("doc_id", "text").filter(learn & F.col("text").isNotNull())
     known = labels.filter(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -84,12 +85,12 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000, vocabular
         return Model({}, np.zeros(0), -30.0, 0.0)
     prior = counts["p"] / counts["n"]
     rows = labelled.agg(F.count("*")).first()[0]
-    draw = lambda c, seed: F.xxhash64(c, F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    draw = lambda seed, *c: F.xxhash64(*c, F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     # the confirmed rows' ids are drawn first: about ``most`` of them, so that they can be broadcast and no text is shuffled
     share = min(1.0, most / counts["p"])
-    toxic = known.filter("toxic = 1").filter(draw("doc_id", 2) < share).select("doc_id", F.lit(True).alias("hit")).limit(2 * most)
+    toxic = known.filter("toxic = 1").filter(draw(2, "doc_id") < share).select("doc_id", F.lit(True).alias("hit")).limit(2 * most)
     # whether a text is in the unlabelled sample does not look at its label
-    both = labelled.withColumn("u", draw("text", 1) < min(1.0, most / max(1, rows))).join(F.broadcast(toxic), "doc_id", "left").withColumn("p", F.coalesce("hit", F.lit(False)))
+    both = labelled.withColumn("u", draw(1, "doc_id", "text") < min(1.0, most / max(1, rows))).join(F.broadcast(toxic), "doc_id", "left").withColumn("p", F.coalesce("hit", F.lit(False)))
 
     def words(it):
         for batch in it:

@@ -97,7 +97,7 @@ def test_random_tokens_are_found(spark):
     r = random.Random(3)
     ordinary = ["".join(r.choice(["tion", "ment", "ing", "over", "the"]) for _ in range(8)) for _ in range(400)]
     keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(28)) for _ in range(40)]
-    plain = ["section-2-of-the-documentation-2", "z" * 30 + "1", "xy" * 14 + "7"]
+    plain = ["section-2-of-the-documentation-2", "z" * 30 + "1", "xy" * 14 + "7", "ab-12/" * 50_000]
     rows = [(i, f"see {w} here") for i, w in enumerate(ordinary + keys + plain)]
     got = {x.doc_id: [s.kind for s in x.spans] for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     hits = sum(got[len(ordinary) + i] == [3] for i in range(len(keys)))
@@ -176,6 +176,25 @@ def test_langid(spark, docs, none, corpus):
     assert {x.lang_pred_ for x in langid.identify(docs, empty, docs.columns).collect()} == {"und"}
 
 
+def test_copies_do_not_fill_the_samples(spark, monkeypatch):
+    """A text that most rows copy is one row of the language sample, and is drawn copy by copy for toxicity."""
+    r = random.Random(2)
+    rows = [(i, "one and the same text", "en", 0) for i in range(4000)] + [(4000 + i, prose(r, "en", 20) + " zorkface" * (i % 2), "en", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4, "doc_id")
+    sizes, write = {}, common.materialize
+
+    def counted(table, name):
+        out = write(table, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "materialize", counted)
+    langid.train(df.select("doc_id", "text", "lang"), F.lit(True), per_lang=4400)
+    assert sizes["langid"] == 401
+    toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), most=300)
+    assert 300 <= sizes["toxicity"] <= 600
+
+
 def test_cross_entropy_in_steps():
     r = random.Random(1)
     texts = [prose(r, "en", 300), "", prose(r, "de", 50), "é"]
