@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
     if not found:
         found = spark._shared_dir = "file://" + tempfile.mkdtemp(prefix="spans-")
     return found.rstrip("/")
