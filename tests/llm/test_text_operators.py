@@ -296,6 +296,30 @@ def test_toxicity(spark, docs, none):
     assert toxicity.train(none, lab, F.lit(True)).prior > 0
 
 
+def test_words_of_copied_toxic_texts_are_no_evidence(spark):
+    r = random.Random(6)
+    copied = [prose(r, "en", 30).split() for _ in range(4)]
+    rows = []
+    for i in range(2400):
+        if i % 30 == 0:  # copies of a few toxic texts with rare words of their own
+            ws = [*copied[i // 30 % 4], f"rare{'abcd'[i // 30 % 4]}", *copied[i // 30 % 4][:9]]
+            ws[r.randrange(20)] = "other"
+        else:
+            ws = prose(r, "en", 40).split()
+        if toxic := i % 10 == 0:
+            ws.insert(r.randrange(len(ws)), "zorkface")
+        rows.append((i, " ".join(ws), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert "zorkface" in m.words and not any(w.startswith("rare") for w in m.words)
+
+
+def test_contexts_cover_the_tokens():
+    r = random.Random(9)
+    for t in [prose(r, "de", 60), "", None, "Worthless! worthless", "\ud800 x"]:
+        assert set(toxicity.contexts(t)) == toxicity.tokens(t)
+
+
 def test_nnpu_risk_separates():
     r = np.random.default_rng(0)
     p = [[0] for _ in range(100)]
