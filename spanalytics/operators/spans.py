@@ -80,11 +80,17 @@ def root(prefix: str = "") -> Column:
     return F.min_by(F.struct("service", "operation", "status"), order)
 
 
-def peak_concurrency(spans: DataFrame) -> DataFrame:
-    """Most spans open at once in each trace; at one instant ends come before starts."""
+def peak_concurrency(spans: DataFrame, slice_ms: float = 60_000.0) -> DataFrame:
+    """Most spans open at once in each trace; at one instant ends come before starts.
+
+    Running sums are taken in slices of time, and then over the slices' totals, so that a trace that holds much of the
+    table is spread over many tasks.
+    """
     ends = F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("delta")), F.struct((F.col("start_ms") + F.col("duration_ms")).alias("at"), F.lit(-1).alias("delta"))))
     e = spans.select("trace_id", ends.alias("x")).select("trace_id", "x.at", "x.delta")
     # steps at one instant and of one sign are summed first: their order among themselves can't matter
     e = e.groupBy("trace_id", "at", "delta").agg(F.sum("delta").alias("step"))
-    running = F.sum("step").over(W.partitionBy("trace_id").orderBy("at", "delta").rowsBetween(W.unboundedPreceding, 0))
-    return e.withColumn("open", running).groupBy("trace_id").agg(F.greatest(F.lit(0), F.max("open")).cast("long").alias("peak"))
+    running = F.sum("step").over(W.partitionBy("trace_id", "slice").orderBy("at", "delta").rowsBetween(W.unboundedPreceding, 0))
+    slices = e.withColumn("slice", F.floor(F.col("at") / slice_ms)).withColumn("open", running).groupBy("trace_id", "slice").agg(F.sum("step").alias("total"), F.max("open").alias("top"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy("trace_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return slices.withColumn("open", before + F.col("top")).groupBy("trace_id").agg(F.greatest(F.lit(0), F.max("open")).cast("long").alias("peak"))

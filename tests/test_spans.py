@@ -140,3 +140,18 @@ def test_scenarios(spark, name):
     assert (top.service, top.score, top.confidence) == TOP[name]
     assert t.count() == 168 and {r.calls for r in nodes.collect()} == {24}
     assert {r.calls for r in G.edges(t).collect()} == {24} and G.edges(t).count() == 6
+
+
+def test_peak_concurrency_in_slices(spark):
+    r = random.Random(4)
+    rows = [(f"t{r.randrange(3)}", str(i), float(r.randrange(-50, 200)), float(r.choice([0, 0, 1, 5, 40, 150]))) for i in range(300)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, start_ms double, duration_ms double")
+    want = {}
+    for t in {x[0] for x in rows}:
+        open_ = best = 0
+        for _, delta in sorted([(s, 1) for k, _, s, _ in rows if k == t] + [(s + d, -1) for k, _, s, d in rows if k == t]):
+            open_ += delta
+            best = max(best, open_)
+        want[t] = best
+    for width in (1.0, 7.5, 60_000.0):
+        assert {x.trace_id: x.peak for x in S.peak_concurrency(df, width).collect()} == want
