@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanalytics import schema
 from spanalytics.plans import api
-from spanalytics.sources import native, otlp
+from spanalytics.sources import native, otlp, scenarios
 from spanalytics.sources.store import SpanStore
 from spanalytics.streaming import ingest
 
@@ -145,3 +145,10 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "views/traces")).first().duration_ms == 50.0
     got = spark.read.parquet(str(tmp_path / "notices")).orderBy("batch").collect()
     assert [(r.event, r.span_count, r.trace_count) for r in got] == [("ingest", 2, 1), ("ingest", 1, 1)]
+
+
+def test_repeated_batch_is_acknowledged_alike(spark, tmp_path):
+    store = SpanStore(spark, str(tmp_path / "again"))
+    rows = scenarios.generate(spark, "stable", 4)
+    first = store.save(rows, 7)
+    assert first == {"accepted": 28, "traces": 4} and store.save(rows, 7) == first and store.spans().count() == 28
