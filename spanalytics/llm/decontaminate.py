@@ -3,15 +3,17 @@
 Texts and items are sequences of normalised words (runs of letters and digits, in lower case). A document is contaminated by
 an item of m words if some stretch of it is within edit distance floor((1 - similarity) * m), in words, of the item.
 
-* Region filter, lossless by the q-gram lemma: among any ten consecutive item words with at most two edits, five of the
-  nine word pairs survive, so a match must hold a stretch of eleven word pairs of which five occur in one item (for
-  shorter items the lemma gives their own bound). It only says which stretches need windows; it matches nothing.
+* Region filter, lossless by the q-gram lemma: an item of 20 words or more has ten consecutive words with at most two edits,
+  of whose nine word pairs five survive, so a match must hold a stretch of eleven word pairs of which five occur in one item
+  (each shorter length has the lemma's bound for the whole item). It says which stretches, and which items at them, can match.
 * CGK: from each window start a random walk reads a word, writes it, and stays or moves on by a random bit of the
   word and the step. Two windows at small edit distance get walks at small Hamming distance with constant probability.
 * LSH: each of the repeated embeddings (own random bits) is sampled at random steps for several tables. A window
   as long as the item that agrees with it on all sampled steps of a table is a candidate. The number of tables is set by
-  the target recall.
+  a target recall, which the walks reach for short items only: they re-couple ever more seldom.
 * Verification: the exact edit distance of the item to the best stretch around the window.
+* Completion: every item that the filter admits at a stretch, and that was not found there without an edit, is verified too
+  where the lemma's bound for the whole item holds. So no match is lost, and the edits are the least, for any length.
 
 The items go to the executors in blocks of a checked size; each block is matched against all documents.
 """
@@ -29,6 +31,8 @@ from . import common
 
 #: Words of items in a block at most (a larger item is a block of its own).
 BLOCK_WORDS = 2_000_000
+#: Words of an item from which on the filter looks at blocks of ten of its words.
+LONG = 20
 SAMPLES = 4
 PAD = np.uint64(0)
 
@@ -136,10 +140,7 @@ class Index:
     ids: list
     items: list[np.ndarray]
     similarity: float
-    long_pairs: Postings
-    short_pairs: Postings
-    single: Postings
-    short_need: int
+    filters: list  # (Postings, function of a document's words that gives their keys, span, need)
     lengths: list[int]
     reps: int
     tables: list  # [length][rep] -> (samples (tables, SAMPLES), sorted signatures, item numbers, low bits)
@@ -168,8 +169,6 @@ def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: f
     keep = [i for i, s in enumerate(seqs) if len(s)]
     ids, items = [ids[i] for i in keep], [seqs[i] for i in keep]
     of = lambda a, b: [i for i, s in enumerate(items) if a <= len(s) < b]
-    short = [items[i] for i in of(2, 10)]
-    need = min([len(s) - 1 - 2 * edits(len(s), similarity) for s in short], default=1)
     lengths = sorted({length_class(len(s)) for s in items})
     per = tables_needed(share, recall, reps)
     r = np.random.default_rng(seed)
@@ -189,8 +188,31 @@ def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: f
             low[sig & np.uint64(len(low) - 1)] = True
             row.append((samples, sig[order], np.tile(np.array(mine), per)[order], low))
         tables.append(row)
-    post = lambda rows, f=pairs: Postings([f(items[i]) for i in rows], rows)
-    return Index(ids, items, similarity, post(of(10, 1 << 60)), post(of(2, 10)), post(of(1, 2), lambda s: s), max(1, need), lengths, reps, tables, max((len(s) for s in items), default=0))
+    filters = []
+    for a, b in [*((m, m + 1) for m in range(1, LONG)), (LONG, 1 << 60)]:
+        if rows := of(a, b):
+            keys = pairs if a > 1 else _words
+            filters.append((Postings([keys(items[i]) for i in rows], rows), keys, *bound([len(items[i]) for i in rows], similarity)))
+    return Index(ids, items, similarity, filters, lengths, reps, tables, max((len(s) for s in items), default=0))
+
+
+def _words(a: np.ndarray) -> np.ndarray:
+    return a
+
+
+def bound(lengths: list[int], similarity: float) -> tuple[int, int]:
+    """(span, need): a match of an item of one of these lengths has ``need`` of the item's pairs within ``span`` positions.
+
+    An edit spoils two pairs at most and adds one word at most. Lengths from LONG on are seen by blocks of ten words, the
+    best of which has at most its share of the edits; shorter ones (all alike) as a whole.
+    """
+    m = lengths[0]
+    if m == 1:
+        return 1, 1
+    n, k = (m, edits(m, similarity)) if m < LONG else (10, max(edits(x, similarity) // (x // 10) for x in lengths))
+    if n - 1 - 2 * k < 1:
+        raise ValueError(f"no word pair need survive at a similarity of {similarity}")
+    return n - 1 + k, n - 1 - 2 * k
 
 
 class Postings:
@@ -203,21 +225,25 @@ class Postings:
         order = np.lexsort((item, flat))
         self.keys, self.first, self.size = np.unique(flat[order], return_index=True, return_counts=True)
         self.item = item[order]
+        # most words of a document are told off by a table of low bits, before the sorted array is searched
+        self.low = np.zeros(1 << max(14, len(self.keys).bit_length() + 3), bool)
+        self.low[self.keys & np.uint64(len(self.low) - 1)] = True
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of x that are keys, and their places among the keys."""
         if not len(self.keys) or not len(x):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, x)
+        maybe = np.flatnonzero(self.low[x & np.uint64(len(self.low) - 1)])
+        at = np.searchsorted(self.keys, x[maybe])
         at[at == len(self.keys)] = 0
-        pos = np.flatnonzero(self.keys[at] == x)
-        return pos, at[pos]
+        same = self.keys[at] == x[maybe]
+        return maybe[same], at[same]
 
-    def dense(self, x: np.ndarray, span: int, need: int) -> np.ndarray:
-        """Positions with ``need`` hits of one item within ``span`` positions."""
+    def dense(self, x: np.ndarray, span: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, with the item, of ``need`` hits of one item within ``span`` positions."""
         pos, at = self.hits(x)
         if len(pos) < need:
-            return pos[:0]
+            return pos[:0], pos[:0]
         # any items at all, then one item
         ok = np.flatnonzero(pos[need - 1 :] - pos[: len(pos) - need + 1] < span)
         near = np.zeros(len(pos) + 1, np.int64)
@@ -226,22 +252,29 @@ class Postings:
         keep = np.cumsum(near)[:-1] > 0
         pos, at = pos[keep], at[keep]
         if not len(pos):
-            return pos
+            return pos, pos
         n = self.size[at]
         p = np.repeat(pos, n)
         i = self.item[np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         order = np.lexsort((p, i))
         p, i = p[order], i[order]
         first = np.flatnonzero((i[need - 1 :] == i[: len(i) - need + 1]) & (p[need - 1 :] - p[: len(p) - need + 1] < span))
-        return np.unique(np.concatenate([p[first + j] for j in range(need)])) if len(first) else p[:0]
+        both = np.unique(np.concatenate([first + j for j in range(need)])) if len(first) else first
+        return p[both], i[both]
 
 
-def regions(ix: Index, a: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of the document's words that may hold a match, widened by the longest item either way."""
-    if not len(a):
-        return []
-    p = pairs(a) if len(a) > 1 else a[:0]
-    at = np.unique(np.concatenate([ix.long_pairs.dense(p, 11, 5), ix.short_pairs.dense(p, 10, ix.short_need), ix.single.hits(a)[0]]))
+def admitted(ix: Index, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the document's words, with the item that the filter admits there, by item and then by position."""
+    keys = {f: f(a) for f in (pairs, _words)} if len(a) else {}
+    got = [post.dense(keys[f], span, need) for post, f, span, need in ix.filters] if len(a) else []
+    at, item = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*got) if got else ([], [])))
+    order = np.lexsort((at, item))
+    return at[order], item[order]
+
+
+def regions(ix: Index, a: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches around the positions ``at`` that may hold a match, widened by the longest item either way."""
+    at = np.unique(at)
     if not len(at):
         return []
     wide = ix.most + edits(ix.most, ix.similarity) + 2
@@ -253,7 +286,8 @@ def regions(ix: Index, a: np.ndarray) -> list[tuple[int, int]]:
 def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 13) -> list[list[tuple[int, int]]]:
     """(item number, edit distance) of each item that each document holds."""
     found: list[dict[int, int]] = [{} for _ in docs]
-    spots = [(d, s, e) for d, a in enumerate(docs) for s, e in regions(ix, a)]
+    near = [admitted(ix, a) for a in docs]
+    spots = [(d, s, e) for d, a in enumerate(docs) for s, e in regions(ix, a, near[d][0])]
     part: list = []
     n = 0
     for k, spot in enumerate(spots):
@@ -268,9 +302,33 @@ def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 13) -> list[list[t
         if n >= step or k + 1 == len(spots):
             _match_part(ix, docs, part, found)
             part, n = [], 0
+    for a, (at, item), f in zip(docs, near, found):
+        _complete(ix, a, at, item, f)
     return [sorted(f.items()) for f in found]
 
 
+def _complete(ix: Index, a: np.ndarray, at: np.ndarray, item: np.ndarray, found: dict[int, int]) -> None:
+    """Verify the items that the filter admits in document ``a``, where the lemma's bound for the whole item holds."""
+    firsts = np.flatnonzero(np.diff(item, prepend=-1))
+    for i, p in zip(item[firsts].tolist(), np.split(at, firsts[1:])):
+        m, k = len(ix.items[i]), edits(len(ix.items[i]), ix.similarity)
+        if found.get(i) == 0:
+            continue
+        if m == 1:
+            found[i] = 0
+            continue
+        # a match has at most m + k words, and a position of the filter is in it
+        for q in np.split(p, np.flatnonzero(np.diff(p) > 2 * (m + k)) + 1):
+            region = a[max(0, int(q[0]) - m - k) : int(q[-1]) + m + k + 2]
+            hit = np.isin(pairs(region), pairs(ix.items[i]))
+            sums = np.concatenate([[0], np.cumsum(hit), np.full(m + k, hit.sum())])
+            starts = np.flatnonzero(sums[m + k - 1 : m + k - 1 + len(hit)] - sums[: len(hit)] >= m - 1 - 2 * k)
+            for w in np.split(starts, np.flatnonzero(np.diff(starts) > m + k) + 1) if len(starts) else []:
+                x = edit_within(ix.items[i], region[w[0] : w[-1] + m + k])
+                if x <= k and x < found.get(i, k + 1):
+                    found[i] = x
+
+
 def _match_part(ix: Index, docs, spots, found) -> None:
     flat = np.concatenate([docs[d][s:e] for d, s, e in spots])
     sizes = np.array([e - s for _, s, e in spots])

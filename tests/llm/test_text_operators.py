@@ -252,6 +252,36 @@ def test_decontamination_recall_and_precision():
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace", "mixed"])
+def test_decontamination_finds_all_at_the_limit(kind):
+    """Items of every length with exactly as many edits as the limit allows, of one kind."""
+    r = random.Random(21)
+    items = [words(r, n) for n in (5, 9, 10, 14, 15, 17, 19, 20, 29, 40, 59, 100, 200, 300) for _ in range(2)]
+    ix = D.build(list(range(len(items))), [" ".join(x) for x in items])
+    texts = []
+    for item in items:
+        ws = [[w] for w in item]
+        for at in r.sample(range(len(item)), D.edits(len(item), 0.8)):
+            how = r.choice(["delete", "insert", "replace"]) if kind == "mixed" else kind
+            ws[at] = [] if how == "delete" else [f"new{r.randrange(10**9)}"] + (ws[at] if how == "insert" else [])
+        texts.append(words(r, 50) + [w for x in ws for w in x] + words(r, 50))
+    for n, found in enumerate(D.match(ix, D.word_ids([" ".join(t) for t in texts]))):
+        a, b = D.word_ids([" ".join(items[n]), " ".join(texts[n])])
+        assert dict(found).get(n) == D.edit_within(a, b) <= D.edits(len(items[n]), 0.8)
+
+
+def test_decontamination_filter_keeps_every_placement():
+    """The shortest lengths of the filter's bounds, with edits where they spoil most of its word pairs."""
+    items = [[f"i{m}w{j}" for j in range(m)] for m in range(5, 34)]
+    ix = D.build(list(range(len(items))), [" ".join(x) for x in items])
+    r = random.Random(3)
+    for n, item in enumerate(items):
+        k = D.edits(len(item), 0.8)
+        places = [sorted(r.sample(range(1, len(item) - 1), k)) for _ in range(8)] + [[len(item) * (2 * j + 1) // (2 * k) for j in range(k)]]
+        docs = [["x"] * 9 + [f"no{j}" if j in at else w for j, w in enumerate(item)] + ["y"] * 9 for at in places]
+        assert all([i for i, _ in f] == [n] for f in D.match(ix, D.word_ids([" ".join(d) for d in docs])))
+
+
 def test_decontamination_table(spark, docs, none, corpus):
     r = random.Random(7)
     long_ = next(t for i, t, *_ in corpus if i == 500).split()
