@@ -6,7 +6,8 @@
 3. Inverted lists of the retained values generate overlaps. A pair that is similar enough shares at least ``t`` of
    the ``k`` values (all but about 1e-8 of the pairs at the threshold), so each representative needs to appear only in
    its ``k - t + 1`` rarest lists; this keeps values of passages that many documents share out of the way. For sets
-   of at most ``k`` shingles the sketch is the set, and the same step is exact.
+   of at most ``k`` shingles the sketch is the set, and the same step is exact; where the partner may be larger, what its
+   sketch can lack is taken off.
 4. Star round: in each list, every member is paired with the smallest one. The sketch of the union estimates the
    similarity and drops pairs far below the threshold; the rest are confirmed on the full sets of both texts. Confirmed
    links give components.
@@ -210,6 +211,15 @@ def _block_links(groups: DataFrame, docs: DataFrame, id_col: str, width: int, pe
     return xs.union(ys).groupBy("hub", "x", "y").applyInArrow(run, "a long, b long")
 
 
+def least_shared(n: int, percent: int, k: int) -> int:
+    """Values that the sketches of a set of n <= k shingles and of any similar enough set share at least.
+
+    A partner of b shingles has ceil(percent * (n + b) / (100 + percent)) in common with it, of which its sketch may lack
+    all b - k that it does not retain.
+    """
+    return max(1, min(-(-percent * (n + b) // (100 + percent)) - max(0, b - k) for b in range(-(-n * percent // 100), n * 100 // percent + 1)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id, kept).
 
@@ -230,7 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     entry = reps.select("id", "n", F.explode("sketch").alias("value"))
     shared = entry.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     listed = entry.join(shared, "value").select("id", "n", F.struct("df", "value").alias("e"))
-    need = F.when(F.col("n") <= k, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(t))
+    whole = F.element_at(F.lit([least_shared(n, percent, k) for n in range(1, k + 1)]), F.least("n", F.lit(k)).cast("int"))
+    need = F.when(F.col("n") <= k, whole).otherwise(F.lit(t))
     cut = F.least("n", F.lit(k)) - need + 1
     ordered = listed.groupBy("id", "n").agg(F.array_sort(F.collect_list("e")).alias("es"))  # at most k entries
     # values with df = 1 come first in the order of rarity; they take places of the prefix without making pairs

@@ -76,6 +76,26 @@ def test_neardup_large_group(spark, monkeypatch, small):
     assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, "doc_id", 4).collect()} == comp
 
 
+def test_neardup_across_the_sketch_size(spark):
+    """Sets as large as the sketch inside sets that are larger than it."""
+    rows = []
+    for i in range(60):
+        ws = [f"d{i}w{j}" for j in range(35 + 8)]
+        rows += [(2 * i, " ".join(ws[:35])), (2 * i + 1, " ".join(ws[: 35 + (7, 8)[i % 2]]))]  # 32 shingles, and 39 or 40
+    _, comp = brute_neardup(rows, 4, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, "doc_id", 4).collect()} == comp
+    assert comp == {i: i - i % 2 for i in range(120)}
+
+
+def test_least_shared():
+    """Against the worst split of shared shingles for every size of the partner."""
+    for percent, n in [(80, n) for n in range(1, 33)] + [(60, 30), (90, 31)]:
+        worst = min(c - min(c, max(0, b - 32)) for b in range(1, 200) for c in range(min(n, b) + 1) if 100 * c >= percent * (n + b - c) and c)
+        assert neardup.least_shared(n, percent, 32) == max(1, worst)
+    assert neardup.least_shared(32, 80, 32) == 24
+
+
 def test_sketch_of_union():
     r = np.random.default_rng(4)
     all_ = np.unique(r.integers(0, 2**63, 3000, dtype=np.uint64))
