@@ -2,8 +2,9 @@
 
 Confirmed toxic examples are the positives; unlabelled text is drawn from the learning rows without looking at their
 labels. The classifier is linear over the presence of vocabulary words: words and stems that occur in the positives more
-often than in the unlabelled texts by a margin of several standard errors, counted by distinct neighbouring words and not by
-texts: the rare words of a toxic text that has many copies always stand between the same two words. It is trained in numpy on the non-negative risk
+often than in the unlabelled texts by a margin of several standard errors, counted by distinct neighbouring words and by
+groups of near copies, not by texts: a toxic text that has many copies counts once, for its rare words and against the
+words that other texts confirm too. It is trained in numpy on the non-negative risk
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with the logistic loss: where the second term falls below zero, the step
 goes against it. The class prior pi is the share of toxic rows among the labelled learning rows.
 """
@@ -20,6 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 _TOKEN = re.compile(r"[^\W\d_]+")
+#: Minhashes of a text: bands that bring near copies together, and values of a band.
+BANDS, ROWS = 16, 4
+_ODD = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass
@@ -48,6 +52,37 @@ def contexts(text: str | None) -> dict[str, int]:
     return out
 
 
+def signature(found: dict[str, int]) -> list[int]:
+    """Minhashes (BANDS x ROWS) of a text's tokens with their contexts."""
+    if not found:
+        return []
+    x = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) << 32 | a for w, a in found.items()], np.uint64)
+    with np.errstate(over="ignore"):
+        h = x[None, :] * _ODD[:, None]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(33)).min(axis=1).astype(np.int64).tolist()
+
+
+def copy_groups(signatures: list[list[int]], alike: float = 0.4) -> list[int]:
+    """A group number for each signature: those that share a band and ``alike`` of their minhashes are linked."""
+    up = list(range(len(signatures)))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    s = np.array(signatures, np.int64).reshape(len(signatures), BANDS * ROWS)
+    for b in range(BANDS):
+        first, last = {}, {}
+        for i, key in enumerate(map(tuple, s[:, b * ROWS : (b + 1) * ROWS].tolist())):
+            for j in {first.setdefault(key, i), last.get(key, i)}:
+                if top(i) != top(j) and (s[i] == s[j]).mean() >= alike:
+                    up[max(top(i), top(j))] = min(top(i), top(j))
+            last[key] = i
+    return [top(i) for i in range(len(signatures))]
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -110,13 +145,21 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000, vocabular
             text = common.column(batch, "text")
             for a, e in common.batches(text):
                 part = batch.slice(a, e - a)
-                yield {"u": part.column(0), "p": part.column(1), "words": [sorted(contexts(t).items()) for t in text[a:e]]}
-
-    seen = common.materialize(common.arrow(both.filter("u or p").select("u", "p", "text"), words, "u boolean, p boolean, words array<struct<word:string,around:long>>"), "toxicity")
-    n = seen.agg(F.count_if("u").alias("u"), F.count_if("p").alias("p")).first()
-    per = seen.select("u", "p", F.inline("words")).groupBy("word").agg(F.count_if("u").alias("u"), F.count_if("p").alias("texts"), F.count_distinct(F.when(F.col("p"), F.col("around"))).alias("p"))
-    rate_p, rate_u = F.col("p") / max(1, n["p"]), (F.col("u") + 0.5) / (n["u"] + 1)
-    score = (rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / max(1, n["p"]) + 1e-12)
+                found, p = [contexts(t) for t in text[a:e]], part.column(1).to_pylist()
+                yield {"u": part.column(0), "p": part.column(1), "words": [sorted(f.items()) for f in found], "sign": [signature(f) if x else [] for f, x in zip(found, p)]}
+
+    seen = common.materialize(common.arrow(both.filter("u or p").select("u", "p", "text"), words, "u boolean, p boolean, words array<struct<word:string,around:long>>, sign array<long>"), "toxicity")
+    n = seen.agg(F.count_if("u").alias("u")).first()
+    # groups of near copies among the confirmed rows: at most 2 * most signatures come to the driver, and their groups go back
+    signs = seen.filter("p and size(sign) > 0").select(F.xxhash64("sign").alias("key"), "sign").dropDuplicates(["key"]).orderBy("key").collect()
+    group = copy_groups([r["sign"] for r in signs])
+    groups = docs.sparkSession.createDataFrame([(r["key"], g) for r, g in zip(signs, group)], "key long, group long")
+    many = max(1, len(set(group)))
+    told = seen.withColumn("key", F.when(F.col("p"), F.xxhash64("sign"))).join(F.broadcast(groups), "key", "left")
+    per = told.select("u", "p", "group", F.inline("words")).groupBy("word").agg(F.count_if("u").alias("u"), F.count_distinct(F.when(F.col("p"), F.col("group"))).alias("texts"), F.count_distinct(F.when(F.col("p"), F.col("around"))).alias("around"))
+    per = per.withColumn("p", F.least("texts", "around"))
+    rate_p, rate_u = F.col("p") / many, (F.col("u") + 0.5) / (n["u"] + 1)
+    score = (rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / many + 1e-12)
     chosen = per.filter(F.col("p") >= F.greatest(F.lit(5), F.col("texts") * varied)).withColumn("z", score).filter(F.col("z") >= z).orderBy(F.desc("z"), "word").limit(vocabulary)
     index = {r["word"]: i for i, r in enumerate(chosen.collect())}
     keep = F.array_intersect("words.word", F.lit(sorted(index)).cast("array<string>"))

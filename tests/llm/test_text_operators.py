@@ -344,6 +344,37 @@ def test_words_of_copied_toxic_texts_are_no_evidence(spark):
     assert "zorkface" in m.words and not any(w.startswith("rare") for w in m.words)
 
 
+def test_a_hot_toxic_text_does_not_remove_its_insults(spark):
+    """Near copies of one toxic text are most of the rows with an insult, which other texts confirm."""
+    r = random.Random(8)
+    hot = [*prose(r, "en", 20).split(), "zorkface", *prose(r, "en", 10).split(), "rareword", *prose(r, "en", 10).split()]
+    rows = []
+    for i in range(2400):
+        ws = prose(r, "en", 40).split()
+        if i % 4 == 0:
+            ws = list(hot)
+            ws[r.randrange(len(ws))] = f"odd{r.randrange(10**6)}"
+            ws[20], ws[31] = "zorkface", "rareword"
+        elif i % 24 == 1:
+            ws.insert(r.randrange(len(ws)), "zorkface")
+        rows.append((i, " ".join(ws), int(i % 4 == 0 or i % 24 == 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert "zorkface" in m.words and "rareword" not in m.words
+    hits = toxicity.scores(m, [t for _, t, x in rows if x])
+    assert min(hits) >= 0.3
+
+
+def test_copy_groups():
+    r = random.Random(4)
+    apart = [prose(r, "en", 40) for _ in range(300)]
+    near = [apart[0].split() for _ in range(100)]
+    for ws in near:
+        ws[r.randrange(40)] = f"x{r.random()}"
+    got = toxicity.copy_groups([toxicity.signature(toxicity.contexts(t)) for t in [*apart, *map(" ".join, near)]])
+    assert len(set(got[:300])) >= 295 and set(got[300:]) == {got[0]}
+
+
 def test_contexts_cover_the_tokens():
     r = random.Random(9)
     for t in [prose(r, "de", 60), "", None, "Worthless! worthless", "\ud800 x"]:
