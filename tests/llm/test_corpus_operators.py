@@ -283,3 +283,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     texts = {i: pii.redacted(t, pii.detect(pii.train(), [t])[1][0]) for i, t, *_ in rows if i in want}
     assert "[EMAIL]" in texts[305]
     assert {x.doc_id: x.doc_tokens for x in got} == {i: len(tok(t)) + 1 for i, t in texts.items()}
+
+
+def test_levels_are_never_cut_short(spark):
+    calls = spark.createDataFrame([(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(4)], "conv long, call_id string, needs array<string>")
+    assert {x.call_id: x.level for x in toolcalls.levels(calls).collect()} == {f"c{i}": i for i in range(4)}
+    with pytest.raises(RuntimeError, match="settle"):
+        toolcalls.levels(calls, most_rounds=2)
