@@ -77,15 +77,62 @@ def test_neardup_large_group(spark, monkeypatch, small):
 
 
 def test_neardup_across_the_sketch_size(spark):
-    """Sets as large as the sketch inside sets that are larger than it."""
+    """Sets around the sketch's size inside sets at the threshold, or one shingle beyond it."""
     rows = []
-    for i in range(60):
-        ws = [f"d{i}w{j}" for j in range(35 + 8)]
-        rows += [(2 * i, " ".join(ws[:35])), (2 * i + 1, " ".join(ws[: 35 + (7, 8)[i % 2]]))]  # 32 shingles, and 39 or 40
+    for n in range(25, 42):
+        for i in range(12):
+            ws = [f"n{n}d{i}w{j}" for j in range(n * 100 // 80 + 5)]
+            more = n * 100 // 80 - (i % 3 == 1) + (i % 3 == 2)
+            rows += [(len(rows), " ".join(ws[: n + 3])), (len(rows) + 1, " ".join(ws[: more + 3]))]
     _, comp = brute_neardup(rows, 4, 80)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, "doc_id", 4).collect()} == comp
-    assert comp == {i: i - i % 2 for i in range(120)}
+    assert all(comp[i] == (i - i % 2 if i // 2 % 12 % 3 < 2 else i) for i in comp)
+
+
+def boilerplate(r, n):
+    """Documents that share a passage of half their words, and pairs of near copies among them."""
+    shared = [f"p{j}" for j in range(60)]
+    rows = []
+    for i in range(n):
+        own = [f"v{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * i, " ".join(shared + own)))
+        own[r.randrange(60)] = "odd"
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join(shared + own)))
+    return rows
+
+
+def test_neardup_shared_passage(spark, monkeypatch):
+    """Long lists that stay open go through the whole sets' rarest values, and no block is compared."""
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    called, blocks = [], neardup._block_links
+    monkeypatch.setattr(neardup, "_block_links", lambda groups, *a: called.append(groups.count()) or blocks(groups, *a))
+    rows = boilerplate(random.Random(5), 60)
+    _, comp = brute_neardup(rows, 4, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, "doc_id", 4).collect()} == comp
+    assert called == [0]
+
+
+def test_neardup_one_id_with_two_texts(spark):
+    """A document has the links of all its texts; each of its rows is returned."""
+    r = random.Random(11)
+    a, b, c = (prose(r, "en", 50) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (4, c), (4, a), (4, ""), (5, c + " end"), (6, prose(r, "de", 40)), (6, prose(r, "de", 40)), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df, "doc_id", 4).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 7)}
+
+
+def test_neardup_confirms_classes(spark, monkeypatch):
+    """With fingerprints that all collide, classes of equal size come apart by their full sets."""
+    make = neardup.sketches
+    monkeypatch.setattr(neardup, "sketches", lambda *a: make(*a).withColumns({"f1": F.lit(0).cast("long"), "f2": F.lit(0).cast("long")}))
+    rows = [(i, " ".join(f"d{i % 4}w{j}" for j in range(20))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df, "doc_id", 4).collect()} == {i: i % 4 for i in range(12)}
 
 
 def test_least_shared():
