@@ -136,12 +136,11 @@ def _texts(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 
 def _against_hubs(pairs: DataFrame, docs: DataFrame, id_col: str, width: int, same) -> DataFrame:
-    """The pairs (a, b) where ``same(set of a, set of b)`` holds for one of their texts, as (u, v) = (b, a).
+    """The pairs (a, b), a written table, where ``same(set of a, set of b)`` holds for one of their texts, as (u, v) = (b, a).
 
     The b of each a are dealt into blocks of about BLOCK by a hash, so that no a is a hot key; a block's rows are the
     text of a, once, and those of its b.
     """
-    pairs = common.materialize(pairs.distinct(), "pairs")
     texts = _texts(docs, id_col, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     others = pairs.join(blocks, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), "blocks").alias("block")).join(texts, "id")
@@ -342,8 +341,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
     sk_reps = reps.select("id", "sketch")
 
     def confirmed(pairs, more=None):
-        found = _estimated(pairs, sk_reps, k, least).distinct()
-        return common.materialize(_verified(found.union(more) if more is not None else found, docs, id_col, width, percent), "links")
+        found = _estimated(pairs, sk_reps, k, least)
+        found = common.materialize((found.union(more) if more is not None else found).distinct(), "pairs")
+        return common.materialize(_verified(found, docs, id_col, width, percent), "links")
 
     def closed(*links):
         out = links[0]
@@ -351,18 +351,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = 5, per
             out = out.union(x)
         return common.materialize(components(out), "comp")
 
-    same_id = _several_texts(known, copies, mark)
     star = common.materialize(_star(_labelled(lists, None), percent), "star")
-    links = [same_id, confirmed(star)]
-    open_ = _open(_labelled(lists, closed(*links)))
-    links.append(confirmed(_pairs(open_, percent).join(star, ["a", "b"], "left_anti")))
-    if not (long := open_.filter(F.col("members") > SMALL)).isEmpty():
-        lists = common.materialize(_whole_lists(long.select("id").distinct(), docs, id_col, width, percent), "lists")
-        links.append(confirmed(_star(_labelled(lists, closed(*links)), percent)))
-        open_ = _open(_labelled(lists, closed(*links)))
-        groups = common.materialize(open_.filter(F.col("members") > SMALL).select("hub", "id", "component").distinct(), "large")
-        links.append(confirmed(_pairs(open_, percent), _block_links(groups, docs, id_col, width, percent)))
+    links = [_several_texts(known, copies, mark), confirmed(star)]
     comp = closed(*links)
+    open_ = _open(_labelled(lists, comp))
+    if not open_.isEmpty():
+        links.append(confirmed(_pairs(open_, percent).join(star, ["a", "b"], "left_anti")))
+        comp = closed(*links)
+        if not (long := open_.filter(F.col("members") > SMALL)).isEmpty():
+            lists = common.materialize(_whole_lists(long.select("id").distinct(), docs, id_col, width, percent), "lists")
+            links.append(confirmed(_star(_labelled(lists, comp), percent)))
+            open_ = _open(_labelled(lists, closed(*links)))
+            groups = common.materialize(open_.filter(F.col("members") > SMALL).select("hub", "id", "component").distinct(), "large")
+            links.append(confirmed(_pairs(open_, percent), _block_links(groups, docs, id_col, width, percent)))
+            comp = closed(*links)
     final = known.select("id", *mark).join(copies.select(F.col("a").alias("rep"), F.col("b").alias("id"), *mark), ["id", *mark], "left").select("id", F.coalesce("rep", "id").alias("node"))
     final = final.distinct().join(comp, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     out = sk.select("id", "n").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
