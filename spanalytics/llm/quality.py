@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds, DataFrame and SQL functions only.
 
 Six shares between 0 and 1 describe a text (symbols, repeated lines, repeated 5-word windows, upper-case letters, marks,
-repeated words); a high share speaks against it. Documents labelled good are the holdout. For each stratum (a band of
-the number of words) and share, the cutoff is the lowest of 64 grid points whose rate of false rejections is proven low:
-the exact binomial tail P(Bin(n, alpha) <= k) of the k rejections among n holdout rows is at most delta divided by the
-number of all tests (Bonferroni over strata, shares and grid points). alpha is the allowed false rejection in a stratum
-divided among the shares, so with probability 1 - delta no stratum loses more good documents than allowed. A
-stratum without enough labelled rows rejects nothing beyond the base rules.
+repeated words); a high share speaks against it. Only texts that pass the base rules count below.
+
+1. Purity: documents labelled bad and documents without a label say, for each stratum (a band of the number of words), share
+   and grid point, which part of the texts with a share as high is bad: (prior of bad) * P(share >= x | bad) / P(share >= x).
+   A text's score is the largest purity of its shares. Documents labelled good have no part in it but for the prior.
+2. Risk control: the documents labelled good are the holdout. In each stratum the cutoffs of the score are tested from the
+   strictest one downwards, to one half, by the exact binomial tail P(Bin(n, allowed) <= k) of the k rejections among n
+   holdout rows, at the level delta / strata (Bonferroni over the strata). The sequence is fixed before the holdout is seen
+   and stops at the first cutoff that can't be proven, so it needs no further correction, and with probability 1 - delta no
+   stratum loses more than ``allowed`` of its good documents. A stratum of fewer than ln(strata / delta) / -ln(1 - allowed)
+   holdout rows (86 by default) can prove nothing and rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from . import common
 GRID = 64
 SHARES = ("symbols", "lines", "windows", "upper", "marks", "words")
 BANDS = (50, 200, 800)
+#: Terms of the binomial tail that are summed; what is left is bounded from above, which only makes a test stricter.
 TERMS = 4000
 
 
@@ -92,30 +98,73 @@ def binomial_tail(n: Column, k: Column, a: float) -> Column:
     return F.when(k >= n * a, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * total))
 
 
-def cutoffs(rows: DataFrame, good: DataFrame, allowed: float, delta: float) -> DataFrame:
-    """(stratum, share, cut): reject where floor(GRID * share) >= cut. At most strata * shares rows."""
-    long = rows.join(good, "doc_id", "left_semi").select(stratum().alias("stratum"), F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.floor(F.col(s) * GRID).cast("int").alias("bin")) for s in SHARES))).alias("x"))
-    n = long.groupBy("stratum", "x.share", "x.bin").agg(F.count("*").alias("n"))
-    grid = n.select("stratum", "share").distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(GRID))))
-    n = n.join(grid, ["stratum", "share", "bin"], "full_outer").fillna(0, ["n"])
-    whole = W.partitionBy("stratum", "share")
-    n = n.select("stratum", "share", "bin", F.sum("n").over(whole).alias("n"), F.sum("n").over(whole.orderBy(F.desc("bin"))).alias("k"))
-    tests = (len(BANDS) + 1) * len(SHARES) * GRID
-    proven = n.filter("bin > 0").filter(binomial_tail(F.col("n"), F.col("k"), allowed / len(SHARES)) <= delta / tests)
-    return proven.groupBy("stratum", "share").agg(F.min("bin").alias("cut"))
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, allowed: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text): measures, base_failed, failed_shares (names) and kept.
+def bins() -> Column:
+    """Grid points of the shares, as an array in the order of SHARES: floor(GRID * share)."""
+    return F.array(*(F.floor(F.col(s) * GRID).cast("int") for s in SHARES))
 
-    labels: (doc_id, quality), 1 for good; other values and nulls are no holdout rows. A null, empty or wordless text has
-    no words and fails the base rules. Repeated rows are judged each; an empty table gives none.
+
+def purity(rows: DataFrame) -> DataFrame:
+    """One row, ``purity``: an array by ((stratum * shares) + share) * (GRID + 1) + bin.
+
+    rows: (quality 1, 0 or null, stratum, bins). Counts of the bad are taken over all strata, those of the texts without
+    a label in each; both are smoothed by one, against rejection.
+    """
+    size = (len(BANDS) + 1) * len(SHARES) * (GRID + 1)
+    long = rows.select("quality", "stratum", F.posexplode("bins").alias("share", "bin"))
+    n = long.groupBy("stratum", "share", "bin").agg(F.count_if(F.col("quality").isNull()).alias("free"), F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"))
+    index = F.expr(f"explode(sequence(0, {size - 1}))").alias("i")
+    grid = rows.sparkSession.range(1).select(index).select("i", F.floor(F.col("i") / (len(SHARES) * (GRID + 1))).cast("int").alias("stratum"), (F.floor(F.col("i") / (GRID + 1)) % len(SHARES)).cast("int").alias("share"), (F.col("i") % (GRID + 1)).alias("bin"))
+    n = grid.join(F.broadcast(n), ["stratum", "share", "bin"], "left").fillna(0, ["free", "bad", "good"])
+    one, every = W.partitionBy("stratum", "share"), W.partitionBy("share")
+    up = lambda c, w: F.sum(c).over(w.orderBy(F.desc("bin")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    all_bad, all_good = F.sum("bad").over(every), F.sum("good").over(every)
+    tail_bad, tail_free = up("bad", every) / (all_bad + 1), (up("free", one) + 1) / (F.sum("free").over(one) + 1)
+    prior = all_bad / F.greatest(F.lit(1), all_bad + all_good)
+    n = n.select("i", F.least(F.lit(1.0), prior * tail_bad / tail_free).alias("p"))
+    return n.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("purity"))
+
+
+def share_purities() -> Column:
+    """Purity of each share of a row with the columns stratum, bins and purity."""
+    return F.transform("bins", lambda b, i: F.get("purity", (F.col("stratum") * len(SHARES) + i) * (GRID + 1) + b))
+
+
+def cutoffs(good: DataFrame, allowed: float, delta: float) -> DataFrame:
+    """(stratum, cut): reject where floor(GRID * score) >= cut. good: (stratum, level) of the holdout rows."""
+    strata = len(BANDS) + 1
+    n = good.groupBy("stratum", F.greatest("level", F.lit(GRID // 2 - 1)).alias("level")).agg(F.count("*").alias("n"))
+    grid = n.select("stratum").distinct().withColumn("level", F.explode(F.sequence(F.lit(GRID // 2 - 1), F.lit(GRID))))
+    n = grid.join(n, ["stratum", "level"], "left").fillna(0, ["n"])
+    whole = W.partitionBy("stratum")
+    n = n.select("stratum", "level", F.sum("n").over(whole).alias("n"), F.sum("n").over(whole.orderBy(F.desc("level"))).alias("k"))
+    proven = binomial_tail(F.col("n"), F.col("k"), allowed) <= delta / strata
+    # the level below the grid's last always fails: the sequence ends there
+    stop = F.max(F.when(~proven | (F.col("level") < GRID // 2), F.col("level")))
+    return n.groupBy("stratum").agg((stop + 1).alias("cut")).filter(F.col("cut") <= GRID)
+
+
+def judge(docs: DataFrame, labels: DataFrame, allowed: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text): measures, base_failed, score, failed_shares (names) and kept.
+
+    labels: (doc_id, quality), 1 for good and 0 for bad; other values and nulls are no labels, and an id with both counts as
+    good. A null, empty or wordless text has no words and fails the base rules. Repeated rows are judged (and count) each; an
+    empty table gives none. Without labels nothing is rejected beyond the base rules.
     """
-    rows = common.materialize(measures(docs, ["doc_id"]), "quality")
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    cuts = cutoffs(rows, good, allowed, delta).collect()  # at most strata * shares rows
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    bad = [F.when((stratum() == r["stratum"]) & (F.floor(F.col(r["share"]) * GRID) >= r["cut"]), F.lit(r["share"])) for r in cuts]
-    failed = F.array_sort(F.array_compact(F.array(*bad))) if bad else F.array().cast("array<string>")
-    out = rows.withColumn("base_failed", base).withColumn("failed_shares", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_shares") == 0))
+    rows = common.materialize(measures(docs, ["doc_id"]).withColumns({"base_failed": base_failed(), "stratum": stratum(), "bins": bins()}), "quality")
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    told = rows.filter(~F.col("base_failed")).select("doc_id", "stratum", "bins").join(known, "doc_id", "left")
+    table = common.materialize(purity(told), "purity")
+    scored = lambda df: df.join(F.broadcast(table)).withColumn("purities", share_purities())  # one row
+    level = lambda p: F.floor(p * GRID).cast("int")
+    holdout = scored(rows.filter(~F.col("base_failed")).join(known.filter("quality = 1"), "doc_id", "left_semi")).select("stratum", level(F.array_max("purities")).alias("level"))
+    cut = F.lit(GRID + 1)
+    for r in cutoffs(holdout, allowed, delta).collect():  # at most a row a stratum
+        cut = F.when(F.col("stratum") == r["stratum"], F.lit(r["cut"])).otherwise(cut)
+    out = scored(rows).withColumn("cut", cut)
+    names = F.filter(F.transform("purities", lambda p, i: F.when(level(p) >= F.col("cut"), F.get(F.array(*map(F.lit, SHARES)), i))), lambda x: x.isNotNull())
+    out = out.withColumns({"score": F.array_max("purities"), "failed_shares": F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(names)})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_shares") == 0)).drop("purity", "purities", "cut", "bins", "stratum")

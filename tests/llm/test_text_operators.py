@@ -208,15 +208,64 @@ def test_binomial_tail(spark, n, k, a):
     assert got == pytest.approx(exact, rel=1e-8)
 
 
+def brute_kept(texts, labels, allowed=0.05, delta=0.05):
+    """The verdict by plain loops, from (id, text) and {id: quality}."""
+    grid, shares = quality.GRID, len(quality.SHARES)
+    rows, failed = {}, {}
+    for i, t in texts:
+        t = t or ""
+        n, chars, symbols, dup, rep = brute_quality(t)
+        ws, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        share = lambda a, b: min(1.0, a / b) if b else 0.0
+        import unicodedata as u
+
+        kinds = [u.category(c) for c in t]
+        upper, letters = kinds.count("Lu"), sum(k[0] == "L" for k in kinds)
+        marks = sum(not (k[0] in "LN" or c in " \t\n\x0b\f\r") for c, k in zip(t, kinds))
+        x = (share(symbols, chars), share(dup, len(lines)), share(rep, n), share(upper, letters), share(marks, chars), share(n - len(set(ws)), n))
+        failed[i] = n < 10 or 100 * rep > 20 * n
+        rows[i] = sum(n >= least for least in quality.BANDS), [math.floor(v * grid) for v in x]
+    passed = [i for i in rows if not failed[i]]
+    bad, good, free = ([i for i in passed if labels.get(i) == q] for q in (0, 1, None))
+    prior = len(bad) / max(1, len(bad) + len(good))
+    score = {}
+    for i in passed:
+        s, bs = rows[i]
+        mine = [j for j in free if rows[j][0] == s]
+        score[i] = max(min(1.0, prior * (sum(rows[j][1][k] >= bs[k] for j in bad) / (len(bad) + 1)) / ((sum(rows[j][1][k] >= bs[k] for j in mine) + 1) / (len(mine) + 1))) for k in range(shares))
+    cuts = {}
+    for s in range(len(quality.BANDS) + 1):
+        levels = [math.floor(score[i] * grid) for i in good if rows[i][0] == s]
+        for cut in range(grid, grid // 2 - 1, -1):
+            n, k = len(levels), sum(x >= cut for x in levels)
+            if k >= n * allowed or sum(math.comb(n, j) * allowed**j * (1 - allowed) ** (n - j) for j in range(k + 1)) > delta / (len(quality.BANDS) + 1):
+                break
+            cuts[s] = cut
+    return {i: not failed[i] and math.floor(score[i] * grid) < cuts.get(rows[i][0], grid + 1) for i in rows}, cuts
+
+
+def test_quality_verdict_against_brute_force(spark):
+    """The given tables: the verdict of all rows, from the same labels, by plain loops; the method rejects on them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {x.doc_id: x.quality for x in labels.collect() if x.quality is not None}
+    want, cuts = brute_kept([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()], known)
+    got = quality.judge(docs, labels).collect()
+    assert {x.doc_id: x.kept for x in got} == want
+    assert len(cuts) >= 2 and sum(not x.kept and not x.base_failed for x in got) > 5
+
+
 def test_cutoffs_limit_false_rejection(spark):
-    r = random.Random(1)
-    good = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(6000)]
-    junk = [" ".join(f"w{r.randrange(10**6)}***" for _ in range(60)) for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(good) + len(junk))], "doc_id long, quality int")
-    got = {x.doc_id: x.kept for x in quality.judge(df, labels).select("doc_id", "kept").collect()}
-    assert sum(not got[i] for i in range(len(good))) <= 0.02 * len(good)
-    assert not any(got[i] for i in range(len(good), len(good) + len(junk)))
+    """Half of the labels choose the cutoffs; on the other half each stratum loses no more good rows than allowed."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = quality.judge(docs, labels.filter(half)).join(labels.filter(~half).select("doc_id", "quality"), "doc_id").filter("not base_failed")
+    rows = got.select("n_words", "quality", "kept").collect()
+    good = [x for x in rows if x.quality == 1]
+    for low, high in zip((0, *quality.BANDS), (*quality.BANDS, 10**9)):
+        mine = [x.kept for x in good if low <= x.n_words < high]
+        assert mine.count(False) <= 0.05 * len(mine)
+    bad = [x.kept for x in rows if x.quality == 0]
+    assert bad.count(False) >= 0.7 * len(bad) > 70
 
 
 # languages -------------------------------------------------------------------------------------------------------------
