@@ -4,7 +4,9 @@ One trigram model per language. All languages share the sorted arrays of hashed
 code points into 63 bits, so it has no collisions); a row of the value matrix holds the n-gram's log probability
 in each language, already interpolated, so that most positions cost one binary search. The language with the
 lowest cross-entropy per character wins. Rejection thresholds and the scale of the confidence are calibrated on
-labelled rows kept out of the counts.
+labelled rows that are kept out of the counts, and on these alone: a text's cross-entropy is standardised by its language and
+length band, and the tail of all held rows beyond their 90 % quantile, taken for exponential, gives the limit that a stated
+share of accepted texts would pass.
 """
 
 from __future__ import annotations
@@ -172,24 +174,51 @@ def predict(m: Model, texts: list[str | None]) -> dict[str, list]:
     }
 
 
-def train(docs: DataFrame, learn, per_lang: int = 1500, calibrate: float = 0.25, margin: float = 1.1) -> Model:
+def rejection_limits(band: np.ndarray, truth: np.ndarray, own: np.ndarray, langs: int, rate: float) -> np.ndarray:
+    """(bands, languages): cross-entropies that about ``rate`` of the texts of their own language exceed.
+
+    ``own``: of held rows, in their own language. Means and deviations of a language and band with few rows lean on those of
+    the language (as five rows would) and of all rows. Without held rows nothing is rejected.
+    """
+    limits = np.full((len(BANDS), langs), np.inf)
+    if not len(own):
+        return limits
+    lean, all_sd = 5, max(float(own.std()), 1e-3)
+    mean, sd = np.zeros_like(limits), np.zeros_like(limits)
+    for j in range(langs):
+        mine = own[truth == j]
+        m_j = mine.mean() if len(mine) else own.mean()
+        v_j = (((mine - m_j) ** 2).sum() + lean * all_sd**2) / (len(mine) + lean)
+        for b in range(len(BANDS)):
+            x = own[(truth == j) & (band == b)]
+            mean[b, j] = (x.sum() + lean * m_j) / (len(x) + lean)
+            sd[b, j] = np.sqrt((((x - mean[b, j]) ** 2).sum() + lean * v_j) / (len(x) + lean))
+    z = (own - mean[band, truth]) / sd[band, truth]
+    u = np.quantile(z, 0.9)
+    excess = z[z > u] - u
+    limit = u + (excess.mean() if len(excess) else 1.0) * np.log(0.1 / rate)
+    limits = mean + limit * sd
+    return np.maximum.accumulate(limits[::-1])[::-1]  # a shorter text varies more, so its limit is no lower
+
+
+def train(docs: DataFrame, learn, per_lang: int = 1500, calibrate: float = 0.25, rate: float = 1e-4, most_langs: int = 256) -> Model:
     """A model from at most about ``per_lang`` labelled rows of each language among those where ``learn`` holds.
 
     The sample is drawn by a hash of the text, so it doesn't depend on the partitioning, and holds each text once: a text
-    that a third of all rows copy is one row of it. A share ``calibrate`` of it
-    stays out of the counts; in each language and length band, the rejection threshold is ``margin`` times the
-    largest cross-entropy seen there, so that no calibration row is rejected.
+    that a third of all rows copy is one row of it. A share ``calibrate`` of it stays out of the counts; from these rows alone
+    come the rejection limits, see ``rejection_limits``, and the scale of the confidence. The ``most_langs`` languages
+    with the most rows are learned.
     """
     spark = docs.sparkSession
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], *(np.zeros(0, np.int64) for _ in range(10)), 0.0)
     share = F.create_map(*(F.lit(x) for p in counts.items() for x in (p[0], min(1.0, per_lang / p[1]))))
     draw = (F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     keep = F.xxhash64("text", F.lit(8)).bitwiseAND(F.lit(1023)) < int(calibrate * 1024)
-    sample = common.materialize(rows.filter(draw < share[F.col("lang")]).select("lang", "text", keep.alias("held")).distinct(), "langid")
+    sample = common.materialize(rows.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text", keep.alias("held")).distinct(), "langid")
 
     def count(it):
         for batch in it:
@@ -213,19 +242,14 @@ def train(docs: DataFrame, learn, per_lang: int = 1500, calibrate: float = 0.25,
                 n, h = cross_entropy(model, text[a:b])
                 yield {"lang": lang[a:b], "n": n, "h": list(h)}
 
-    seen = common.arrow(sample, measure, "lang string, n long, h array<double>").collect()
+    seen = common.arrow(sample.filter("held"), measure, "lang string, n long, h array<double>").collect()
     common.drop_table(sample)
-    truth, n, h = np.array([number[r["lang"]] for r in seen]), np.array([r["n"] for r in seen]), np.array([r["h"] for r in seen]).reshape(-1, len(langs))
+    truth, n, h = np.array([number[r["lang"]] for r in seen], np.int64), np.array([r["n"] for r in seen]), np.array([r["h"] for r in seen]).reshape(-1, len(langs))
     band, own = np.searchsorted(BANDS, n, "right") - 1, h[np.arange(len(h)), truth]
-    widest = own.max() if len(own) else np.inf
-    model.limits = np.full((len(BANDS), len(langs)), margin * widest)
-    for b in range(len(BANDS)):
-        for j in range(len(langs)):
-            x = own[(band == b) & (truth == j)]
-            if len(x) >= 50:
-                model.limits[b, j] = margin * x.max()
-    model.limits = np.maximum.accumulate(model.limits[::-1])[::-1]  # a shorter text varies more, so its limit is no lower
-    # scale of the confidence: least log loss on the rows
+    model.limits = rejection_limits(band, truth, own, len(langs), rate)
+    if not len(seen):
+        return model
+    # scale of the confidence: least log loss on the held rows
     losses = []
     for s in (grid := np.geomspace(0.05, 20, 25)):
         z = -(h - h.min(axis=1, keepdims=True)) * s * np.sqrt(np.maximum(n, 1))[:, None]
