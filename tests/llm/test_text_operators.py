@@ -298,6 +298,36 @@ def test_langid(spark, docs, none, corpus):
     assert {x.lang_pred_ for x in langid.identify(docs, empty, docs.columns).collect()} == {"und"}
 
 
+def test_rejection_limits():
+    """About the stated share of held texts of one's own language is rejected, and texts of no known language are."""
+    r = np.random.default_rng(2)
+    truth, band = r.integers(0, 3, 6000), r.integers(0, 5, 6000)
+    own = 2 + truth * 0.3 - band * 0.1 + r.normal(0, 0.1, 6000) / (1 + band)
+    for rate in (0.05, 0.01, 0.002):
+        limits = langid.rejection_limits(band[:3000], truth[:3000], own[:3000], 3, rate)
+        out = (own[3000:] > limits[band[3000:], truth[3000:]]).mean()
+        assert out <= 3 * rate + 0.001 and (rate < 0.01 or out >= rate / 4)
+    assert np.isinf(langid.rejection_limits(band[:0], truth[:0], own[:0], 3, 0.01)).all()
+
+
+def test_training_rows_never_reach_calibration(spark, monkeypatch):
+    """The texts that are counted and those that calibrate are apart, and both come from the learning rows."""
+    r = random.Random(4)
+    rows = [(i, prose(r, "en", 20) + f" x{i}", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parts, run = [], common.arrow
+
+    def seen(table, f, schema):
+        if "text" in table.columns:
+            parts.append({x.text for x in table.select("text").collect()})
+        return run(table, f, schema)
+
+    monkeypatch.setattr(common, "arrow", seen)
+    langid.train(df, F.col("doc_id") < 200)
+    counted, held = parts
+    assert not counted & held and counted | held == {t for i, t, _ in rows if i < 200} and len(held) > 25
+
+
 def test_copies_do_not_fill_the_samples(spark, monkeypatch):
     """A text that most rows copy is one row of the language sample, and is drawn copy by copy for toxicity."""
     r = random.Random(2)
@@ -497,15 +527,29 @@ def test_copy_groups():
     assert len(set(got[:300])) >= 295 and set(got[300:]) == {got[0]}
 
 
-def test_contexts_cover_the_tokens():
+def test_scores_and_contexts_agree():
+    """What is learned from a text is what scoring sees in it."""
     r = random.Random(9)
-    for t in [prose(r, "de", 60), "", None, "Worthless! worthless", "\ud800 x"]:
-        assert set(toxicity.contexts(t)) == toxicity.tokens(t)
+    for t in [prose(r, "de", 60), "", None, "Worthless! worthless", "\ud800 x", prose(r, "en", 3000)]:
+        seen = toxicity.contexts(t)
+        m = toxicity.Model({w: i for i, w in enumerate(seen)}, r_ := np.random.default_rng(1).random(len(seen)) / 50, -1.0, 0.1)
+        want = -1 + sum(r_[i] * v for i, (_, v) in enumerate(seen.values()))
+        assert toxicity.scores(m, [t])[0] == pytest.approx(1 / (1 + math.exp(-want)))
+
+
+def test_toxicity_of_a_small_table(spark):
+    """Four confirmed texts are enough for a model that tells texts apart."""
+    r = random.Random(3)
+    rows = [(i, " ".join([*prose(r, "en", 30).split(), *(["zorkface", "grumblor"] if i % 15 == 0 else [])]), int(i % 15 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.filter("doc_id < 60").select("doc_id", "toxic"), F.lit(True))
+    got = toxicity.scores(m, [t for _, t, _ in rows])
+    assert all((x >= 0.3) == bool(y) for x, (_, _, y) in zip(got, rows))
 
 
 def test_nnpu_risk_separates():
     r = np.random.default_rng(0)
-    p = [[0] for _ in range(100)]
-    u = [[0] if r.random() < 0.2 else [] for _ in range(1000)]
+    p = [[(0, 1.0)] for _ in range(100)]
+    u = [[(0, 1.0)] if r.random() < 0.2 else [] for _ in range(1000)]
     w, b = toxicity.fit(p, u, 1, 0.2)
     assert 1 / (1 + np.exp(-w[0] - b)) > 0.6 and 1 / (1 + np.exp(-b)) < 0.15
