@@ -39,3 +39,8 @@ def nanos_to_ms(c: Column) -> Column:
     whole = c.cast("decimal(38,0)")
     ms = F.floor(whole / F.lit(1_000_000).cast("decimal(38,0)")).cast("double") + (whole % 1_000_000).cast("double") / 1e6
     return F.when(c.rlike(r"^[0-9]+$"), ms)
+
+
+def time_text(at: Column) -> Column:
+    """English time of day of a timestamp, in the session's zone: 01:04:05 PM."""
+    return F.date_format(at, "hh:mm:ss a")

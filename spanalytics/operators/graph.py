@@ -6,30 +6,64 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels
 from ..functions.numbers import js_round
+from ..storage import materialize
 from . import spans as S
 
 SERVICE_COLUMNS = ["service", "calls", "errors", "error_rate", "average_ms", "p95_ms", "self_time_ms"]
 
 
-def nearest_rank(c: str, p: float) -> Column:
-    """The value at rank ceil(p * n), never interpolated."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
+#: Classes of durations for each doubling.
+CLASSES = 16
+
+
+def ranked_values(counts: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(service, a column for each share): the value at rank ceil(share * n) of each service, never interpolated.
+
+    counts: a written table (service, duration_ms, n). A running sum over classes of durations tells the class that holds the
+    rank, and one over that class's values the value, so neither a buffer nor a window holds all values of a service.
+    """
+    classed = counts.select("service", "duration_ms", "n", F.floor(F.log2(F.col("duration_ms") + 1) * CLASSES).alias("class"))
+    per = classed.groupBy("service", "class").agg(F.sum("n").alias("held"))
+    one = W.partitionBy("service")
+    per = per.select("service", "class", "held", F.sum("held").over(one).alias("all"), F.sum("held").over(one.orderBy("class")).alias("upto"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.ceil(F.lit(p) * F.col("all")).alias("rank")) for name, p in shares.items())))
+    wanted = per.select("service", "class", "upto", (F.col("upto") - F.col("held")).alias("before"), wanted.alias("w"))
+    wanted = wanted.filter((F.col("before") < F.col("w.rank")) & (F.col("w.rank") <= F.col("upto"))).select("service", "class", "w.name", (F.col("w.rank") - F.col("before")).alias("rank"))
+    running = F.sum("n").over(W.partitionBy("service", "class", "name").orderBy("duration_ms"))
+    near = classed.join(wanted, ["service", "class"]).withColumn("upto", running).filter(F.col("upto") >= F.col("rank"))
+    return near.groupBy("service").agg(*(F.min(F.when(F.col("name") == name, F.col("duration_ms"))).alias(name) for name in shares))
 
 
 def services(analyzed: DataFrame) -> DataFrame:
-    """Metrics of each service, from spans with self_time_ms; first_seen orders ties."""
-    d = F.col("duration_ms")
-    return analyzed.groupBy("service").agg(
-        F.count("*").alias("calls"), F.count_if(F.col("status") == "error").alias("errors"),
-        js_round(F.count_if(F.col("status") == "error") / F.count("*"), 2).alias("error_rate"), js_round(F.sum(d) / F.count("*"), 2).alias("average_ms"),
-        js_round(nearest_rank("duration_ms", 0.95), 2).alias("p95_ms"), js_round(F.sum("self_time_ms"), 2).alias("self_time_ms"), F.min(S.first_order()).alias("first_seen"),
+    """Metrics of each service, from spans with self_time_ms; first_seen orders ties.
+
+    The spans are read once, into a table of the durations of each service, which the metrics and ranks are taken from.
+    """
+    d, n = F.col("duration_ms"), F.col("n")
+    counts = analyzed.groupBy("service", "duration_ms").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.sum("self_time_ms").alias("own"), F.min(S.first_order()).alias("first_seen"))
+    counts = materialize(counts, "durations")
+    sums = counts.groupBy("service").agg(
+        F.sum(n).alias("calls"), F.sum("bad").alias("errors"), js_round(F.sum("bad") / F.sum(n), 2).alias("error_rate"), js_round(F.sum(d * n) / F.sum(n), 2).alias("average_ms"),
+        js_round(F.sum("own"), 2).alias("self_time_ms"), F.min("first_seen").alias("first_seen"),
     )
+    ranks = ranked_values(counts, {"p95": 0.95}).select("service", js_round(F.col("p95"), 2).alias("p95_ms"))
+    return sums.join(ranks, "service").select(*SERVICE_COLUMNS, "first_seen")
+
+
+def service_table(analyzed: DataFrame) -> DataFrame:
+    """The services' metrics as a small written table, for plans that use them several times."""
+    return materialize(services(analyzed), "services")
 
 
 def ordered_services(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy(F.desc("p95_ms"), "first_seen").select(SERVICE_COLUMNS)
 
 
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """Rows of the graph, one a service or edge, with their place in an order from 1 on."""
+    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
 def edges(spans: DataFrame) -> DataFrame:
     """Calls from the parent's service to another service. The key is the pair, so any name is safe."""
     both = S.parents(spans).filter("p_found and p_service <> service")
@@ -80,7 +114,7 @@ def health(total: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def inspector(nodes: DataFrame, e: DataFrame, hyp: DataFrame, service: str) -> DataFrame:
+def inspector(e: DataFrame, service: str) -> DataFrame:
     """Edges into and out of a service."""
     both = e.filter((F.col("target") == service) | (F.col("source") == service))
     return both.select(F.when(F.col("target") == service, "inbound").otherwise("outbound").alias("direction"), "source", "target", "calls", "errors", "average_ms")

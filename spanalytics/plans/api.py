@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import graph, spans as S, traces as T
 from ..sources import native, otlp, scenarios
 from ..sources.store import SpanStore
+from ..streaming.notices import announce
 
 
 def health(spark: SparkSession) -> dict:
@@ -29,7 +30,7 @@ def ingest_otlp(store: SpanStore, payload: str) -> dict:
 
 def analyze_window(spans: DataFrame) -> dict[str, DataFrame]:
     """Services, edges and hypotheses of any set of spans."""
-    nodes = graph.services(S.self_time(spans))
+    nodes = graph.service_table(S.self_time(spans))
     return {"services": graph.ordered_services(nodes), "edges": graph.ordered_edges(graph.edges(spans)), "hypotheses": graph.ranked(graph.hypotheses(nodes))}
 
 
@@ -59,10 +60,14 @@ def get_trace(store: SpanStore, trace_id: str) -> dict[str, DataFrame]:
     return analyze_trace(spans)
 
 
-def run_scenario(store: SpanStore, scenario: str, traces: int = 24, base_ms: int = 1_700_000_000_000) -> dict:
+def run_scenario(store: SpanStore, scenario: str, traces: int = 24, base_ms: int = 1_700_000_000_000, notices: str | None = None) -> dict:
     ack = store.save(scenarios.generate(store.spark, scenario, traces, base_ms))
+    if notices:
+        announce(store.spark, notices, "scenario", ack, scenario=scenario)
     return {"scenario": scenario, "spans": ack["accepted"], "traces": ack["traces"]}
 
 
-def clear(store: SpanStore) -> None:
+def clear(store: SpanStore, notices: str | None = None) -> None:
     store.truncate()
+    if notices:
+        announce(store.spark, notices, "reset")

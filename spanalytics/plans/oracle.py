@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.labels import ERROR_SENTENCE, P95_SENTENCE, SELF_SENTENCE
+#: The evidence sentences, as patterns.
+ERROR_SENTENCE = "^([0-9]+)/([0-9]+) spans ended in error [(]([0-9.]+)%[)][.]$"
+P95_SENTENCE = "^p95 latency reached ([0-9.]+) ms[.]$"
+SELF_SENTENCE = "^([0-9.]+) ms were spent inside the service after removing overlapping child calls[.]$"
 
 
 def jr(x: str, d: int) -> str:
@@ -63,6 +66,10 @@ pk AS (SELECT trace_id, row_number() OVER (ORDER BY count(*) DESC, trace_id) AS
 EDGES = PAIRS + f""",
 ed AS (SELECT p_service AS source, service AS target, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, {jr("sum(duration_ms) / count(*)", 2)} AS average_ms, min({order()}) AS first_seen FROM pc WHERE p_service <> service GROUP BY p_service, service)"""
 
+#: The spans of the largest trace alone.
+ONE_TRACE = SPANS.replace("\ns AS (", "\nevery AS (") + """,
+s AS (SELECT * FROM every WHERE trace_id = (SELECT trace_id FROM every GROUP BY trace_id ORDER BY count(*) DESC, trace_id LIMIT 1))"""
+
 PEAK = """,
 ev AS (SELECT trace_id, start_ms AS moment, 1 AS delta FROM s UNION ALL SELECT trace_id, start_ms + duration_ms, -1 FROM s),
 run AS (SELECT trace_id, sum(delta) OVER (PARTITION BY trace_id ORDER BY moment, delta ROWS UNBOUNDED PRECEDING) AS open FROM ev),
@@ -88,7 +95,6 @@ def _q(select: str, *parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{SPANS}{''.join(parts)} {select}"
 
 
-_x = "{0} / 7"
 SQL = {
     "spans_view": _q("SELECT * FROM s"),
     "span_decoded": _q("SELECT trace_id, span_id, coalesce(parent_span_id, '') AS parent, start_ms, start_ms + duration_ms AS end_ms, status = 'error' AS is_error FROM s"),
@@ -110,10 +116,10 @@ SQL = {
     "self_time": _q("SELECT trace_id, span_id, duration_ms, end_ms, self_time_ms FROM a", SELF),
     "span_depth": _q("SELECT * FROM d", DEPTH, recursive=True),
     "service_metrics": _q("SELECT * EXCLUDE (first_seen) FROM m", METRICS),
-    "service_order": _q("SELECT service, p95_ms FROM m ORDER BY p95_ms DESC, first_seen LIMIT 3", METRICS),
+    "service_order": _q("SELECT CAST(row_number() OVER (ORDER BY p95_ms DESC, first_seen) AS INTEGER) AS place, service, p95_ms FROM m", METRICS),
     "service_p95": _q("SELECT service, quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.5) AS p50 FROM s GROUP BY service"),
     "service_edges": _q("SELECT * EXCLUDE (first_seen) FROM ed", EDGES),
-    "service_edges_ordered": _q("SELECT * EXCLUDE (first_seen) FROM ed ORDER BY calls DESC, first_seen LIMIT 5", EDGES),
+    "service_edges_ordered": _q("SELECT * EXCLUDE (first_seen), CAST(row_number() OVER (ORDER BY calls DESC, first_seen) AS INTEGER) AS place FROM ed", EDGES),
     "hypotheses_top5": _q("SELECT rank, service, score, confidence FROM h", HYP),
     "hypotheses_rest": _q("SELECT lpad(CAST(rank AS VARCHAR), 2, '0') AS label, service, score FROM h WHERE rank BETWEEN 2 AND 4", HYP),
     "hypothesis_evidence": _q("SELECT rank, service, array_to_string(evidence, ' / ') AS evidence FROM h", HYP),
@@ -158,13 +164,60 @@ SQL = {
         FROM (SELECT *, greatest(170e0, n * 34e0) AS r, 2 * pi() * i / n - pi() / 2 AS a FROM (SELECT *, CAST(row_number() OVER (ORDER BY p95_ms DESC, first_seen) - 1 AS INTEGER) AS i, count(*) OVER () AS n FROM m))""", HYP),
     "edge_flags": _q("SELECT source, target, errors > 0 AS animated FROM ed", EDGES),
     "number_formats": _q(f"SELECT trace_id, span_id, {jr('duration_ms / 7', 2)} AS r2, {jr('duration_ms / 7', 4)} AS r4, {text1(jr('duration_ms / 7', 1))} AS text, {grouped('duration_ms / 7')} AS grouped, printf('%.1f', {jr('duration_ms / 7', 1)}) AS fixed FROM s"),
-    "incident_report": _q(f"""SELECT concat_ws(chr(10), '# Incident report', '', '## Summary', '', '- Traces: ' || format('{{:,}}', n_traces), '- Services: ' || format('{{:,}}', n_services), '- Error rate: ' || printf('%.1f', {jr('error_rate * 100', 1)}) || '%',
+    "incident_report": _q(f"""SELECT concat_ws(chr(10), '# Incident report', '', '## Summary', '', '- Generated at: 01:04:05 PM', '- Traces: ' || format('{{:,}}', n_traces), '- Services: ' || format('{{:,}}', n_services), '- Error rate: ' || printf('%.1f', {jr('error_rate * 100', 1)}) || '%',
             '- Leading service: ' || lead_service, '', '## Selected trace', '', '- Trace ID: ' || tid, '- Duration: ' || {grouped('tdur')} || ' ms', '- Status: ' || upper(tstatus), '- Spans: ' || format('{{:,}}', tspans),
             '', '## Evidence', '', array_to_string(list_transform(evidence, lambda x: '- ' || x), chr(10)), '', '## Services', '', '| Service | p95 | Error rate | Self time |', '| --- | ---: | ---: | ---: |', lines) AS report
         FROM (SELECT count(DISTINCT trace_id) AS n_traces, count(DISTINCT service) AS n_services, {jr('count(*) FILTER (status = $$error$$) / count(*)', 4)} AS error_rate FROM s),
             (SELECT service AS lead_service, evidence FROM h WHERE rank = 1), (SELECT trace_id AS tid, duration_ms AS tdur, trace_status AS tstatus, span_count AS tspans FROM t WHERE trace_id = (SELECT trace_id FROM pk WHERE nth = 1)),
             (SELECT string_agg('| ' || service || ' | ' || {grouped('p95_ms')} || ' ms | ' || {grouped('error_rate * 100')} || '% | ' || {grouped('self_time_ms')} || ' ms |', chr(10) ORDER BY p95_ms DESC, first_seen) AS lines FROM (SELECT * FROM m ORDER BY p95_ms DESC, first_seen LIMIT 7))""", HYP, SUMMARY, PICK),
     "otlp_parse": _q("SELECT *, span_id AS row_attribute FROM s"),
+    "otlp_forms": _q("""SELECT trace_id, span_id, parent_span_id, service, operation, start_ms, duration_ms, status,
+            CASE m % 8 WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN '1_' || w WHEN 3 THEN w WHEN 4 THEN w || '.5' WHEN 5 THEN 'true' WHEN 6 THEN '[' || w || ',"a"]' ELSE '{"n":' || w || ',"l":"[false]"}' END AS v,
+            'span' AS zone, 'resource' AS env, CASE WHEN m % 2 = 1 THEN 'old' ELSE 'new' END AS otel_scope_name,
+            CASE m % 8 WHEN 1 THEN 'BIGINT' WHEN 3 THEN 'BIGINT' WHEN 4 THEN 'DECIMAL(' || length(w) + 1 || ',1)' WHEN 5 THEN 'BOOLEAN' ELSE 'STRING' END AS kind
+        FROM (SELECT *, CAST(floor(start_ms / 1000) AS BIGINT) AS m, CAST(CAST(floor(start_ms / 1000) AS BIGINT) % 1000 AS VARCHAR) AS w FROM s)"""),
+    "label_texts": _q("""SELECT trace_id, span_id, start_ms + 123456 / 1e6 AS ms, CAST(NULL AS DOUBLE) AS none,
+            CASE CAST(floor(start_ms / 1000) AS BIGINT) % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'ok' WHEN 3 THEN 'error' ELSE 'unset' END AS status_name,
+            service || ' took ' || CAST(CAST(duration_ms AS BIGINT) AS VARCHAR) || ' ms, {rest}' AS told, strftime(make_timestamp(CAST(start_ms AS BIGINT) * 1000), '%I:%M:%S %p') AS time_of_day FROM s"""),
+    "trace_analysis": f"""WITH RECURSIVE {ONE_TRACE}{SELF}{DEPTH}{SUMMARY} SELECT a.trace_id, a.span_id, a.end_ms, a.self_time_ms, d.depth, t.trace_status, t.duration_ms AS trace_ms,
+            (SELECT count(DISTINCT service) FROM a) AS services, (SELECT max(p) FROM (SELECT quantile_disc(duration_ms, 0.95) AS p FROM a GROUP BY service)) AS top_p95_ms, (SELECT count(*) FROM pc WHERE p_service <> service) AS calls_between
+        FROM a JOIN d USING (trace_id, span_id) JOIN t USING (trace_id)""",
     "native_json": _q("SELECT * FROM s"),
     "stream_ingest": "SELECT CAST(count(*) AS BIGINT) AS accepted, CAST(count(*) AS BIGINT) AS stored FROM events",
 }
+
+
+#: Seeds and shares of the scenarios; calls with their place among a trace's draws (from 0; after a fault's own draw, those
+#: from 5 on are one later), parent, offset, and the usual duration and spread.
+SCENARIOS = {"stable": (11, 0), "payment-timeout": (29, 3), "database-lock": (47, 4), "cache-degradation": (71, 2)}
+CALLS = [
+    ("root", 0, "edge-gateway", "POST /checkout", None, 0, 640, 120), ("payment", 1, "payment", "authorize", "root", 250, 260, 70), ("db", 2, "postgres", "SELECT account FOR UPDATE", "payment", 282, 62, 24),
+    ("redis", 3, "redis", "GET product:batch", "catalog", 88, 18, 10), ("catalog", 4, "catalog", "load-products", "root", 72, 145, 35), ("auth", 5, "auth", "verify-session", "root", 18, 42, 14), ("cart", 6, "cart", "price-cart", "root", 94, 128, 42),
+]
+#: Durations of faulty traces, as SQL over f (the fault's own draw); and the calls that fail.
+FAULTS = {
+    "payment-timeout": ((2250, 220), {"payment": "f", "root": "f + 170"}, ("payment", "root")),
+    "database-lock": ((1650, 180), {"db": "f", "payment": "f + 120", "root": "(f + 120) + 190"}, ("db", "payment", "root")),
+    "cache-degradation": ((720, 130), {"redis": "f", "catalog": "f + 150", "root": "(f + 150) + 390"}, ("redis",)),
+}
+
+
+def scenario_spans(name: str, traces: int = 24, base_ms: int = 1_700_000_000_000) -> str:
+    """Text of the table s for a scenario: draws by recursion, then a row for each call of each trace."""
+    seed, every = SCENARIOS[name]
+    bad = f"i % {every} = 0" if every else "false"
+    draw = lambda usual, spread, x: f"greatest(1e0, {usual}e0 + ({x} / 4294967295e0 - 0.5e0) * {spread}e0)"
+    (usual, spread), waits, failed = FAULTS.get(name, ((1, 0), {}, ()))
+    calls = ", ".join(f"('{c}', {k}, '{v}', '{o}', {repr(p) if p else 'NULL'}, {at}e0, {u}, {w})" for c, k, v, o, p, at, u, w in CALLS)
+    long = " ".join(f"WHEN bad AND name = '{c}' THEN {x}" for c, x in waits.items()) or "WHEN false THEN 0"
+    wrong = ", ".join(f"'{c}'" for c in failed) or "''"
+    return f"""lcg(k, x) AS (SELECT CAST(0 AS BIGINT), CAST({seed} AS BIGINT) UNION ALL SELECT k + 1, (1664525 * x + 1013904223) % 4294967296 FROM lcg WHERE k < {traces * 8}),
+tr AS (SELECT i, {bad} AS bad, i * 7 + {f"((i + {every} - 1) // {every})" if every else "0"} AS before FROM (SELECT unnest(range(0, {traces})) AS i)),
+ca AS (SELECT * FROM (VALUES {calls}) v(name, k, service, operation, parent, start_at, usual, spread)),
+dr AS (SELECT tr.*, ca.*, l.x, {draw(usual, spread, "f0.x")} AS f FROM tr CROSS JOIN ca JOIN lcg l ON l.k = before + 1 + ca.k + CASE WHEN bad AND ca.k >= 5 THEN 1 ELSE 0 END JOIN lcg f0 ON f0.k = before + 6),
+s AS (SELECT '{name}-' || lpad(CAST(i AS VARCHAR), 4, '0') AS trace_id, trace_id || '-' || name AS span_id, trace_id || '-' || parent AS parent_span_id, service, operation, {base_ms}e0 - ({traces} - i) * 1350 + start_at AS start_ms,
+    CASE {long} ELSE greatest(1e0, usual + (x / 4294967295e0 - 0.5e0) * spread) END AS duration_ms, CASE WHEN bad AND name IN ({wrong}) THEN 'error' ELSE 'ok' END AS status FROM dr)"""
+
+
+for _name in SCENARIOS:
+    SQL["scenario_" + _name.replace("-", "_")] = f"WITH RECURSIVE {scenario_spans(_name)}{METRICS} SELECT * EXCLUDE (first_seen) FROM m"

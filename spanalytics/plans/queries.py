@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
 from ..functions import labels
-from ..functions.numbers import fixed_text, grouped_text, js_round, number_text
+from ..functions.numbers import fixed_text, grouped_text, js_round, nanos_to_ms, number_text, time_text
 from ..operators import graph as G, spans as S, traces as T
 from ..session import prepare
 from ..sources import native, otlp, scenarios
 from ..sources.adapters import latest, spans as span_view
-from . import report as R
+from ..storage import materialize
+from . import api, report as R
 
 QUERIES = {}
 
@@ -37,7 +38,7 @@ def table_query(f):
 
 
 def _nodes(s: DataFrame) -> DataFrame:
-    return G.services(S.self_time(s))
+    return G.service_table(S.self_time(s))
 
 
 def _pick(s: DataFrame, nth: int) -> str:
@@ -46,7 +47,6 @@ def _pick(s: DataFrame, nth: int) -> str:
     return rows[-1]["trace_id"]
 
 
-
 @query
 def spans_view(s):
     return s
@@ -137,17 +137,17 @@ def span_depth(s):
 
 @query
 def service_metrics(s):
-    return _nodes(s).select(G.SERVICE_COLUMNS)
+    return G.services(S.self_time(s)).select(G.SERVICE_COLUMNS)
 
 
 @query
 def service_order(s):
-    return G.ordered_services(_nodes(s)).limit(3).select("service", "p95_ms")
+    return G.placed(_nodes(s), F.desc("p95_ms"), "first_seen").select("place", "service", "p95_ms")
 
 
 @query
 def service_p95(s):
-    return s.groupBy("service").agg(G.nearest_rank("duration_ms", 0.95).alias("p95"), G.nearest_rank("duration_ms", 0.5).alias("p50"))
+    return G.ranked_values(materialize(s.groupBy("service", "duration_ms").agg(F.count("*").alias("n")), "durations"), {"p95": 0.95, "p50": 0.5})
 
 
 @query
@@ -157,7 +157,7 @@ def service_edges(s):
 
 @query
 def service_edges_ordered(s):
-    return G.ordered_edges(G.edges(s)).limit(5)
+    return G.placed(G.edges(s), F.desc("calls"), "first_seen").drop("first_seen")
 
 
 @query
@@ -259,8 +259,7 @@ def errors_only(s):
 
 @query
 def service_inbound_outbound(s):
-    nodes = _nodes(s)
-    return G.inspector(nodes, G.edges(s), G.hypotheses(nodes), "svc-2")
+    return G.inspector(G.edges(s), "svc-2")
 
 
 @query
@@ -309,7 +308,26 @@ def number_formats(s):
 
 @query
 def incident_report(s):
-    return R.report(s, _pick(s, 0))
+    return R.report(s, _pick(s, 0), generated_at=F.lit("2024-01-02 13:04:05").cast("timestamp"))
+
+
+@query
+def trace_analysis(s):
+    """The whole analysis of one trace: its spans with self time and depth, beside the trace's scalars and services."""
+    got = api.analyze_trace(s.filter(F.col("trace_id") == _pick(s, 0)))
+    services = got["services"].agg(F.count("*").alias("services"), F.max("p95_ms").alias("top_p95_ms"))
+    calls = got["edges"].agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls_between"))
+    rows = got["spans"].select("trace_id", "span_id", "end_ms", "self_time_ms", "depth").join(F.broadcast(got["trace"].select("trace_id", F.col("status").alias("trace_status"), F.col("duration_ms").alias("trace_ms"))), "trace_id")
+    return rows.join(F.broadcast(services)).join(F.broadcast(calls))
+
+
+@query
+def label_texts(s):
+    """Texts and numbers of single values: nanoseconds, status codes, templates, times of day."""
+    code = F.element_at(F.array(*map(F.lit, ("1", "2", "STATUS_CODE_OK", "STATUS_CODE_ERROR", "0", "x"))), (1 + F.floor(F.col("start_ms") / 1000) % 6).cast("int"))
+    nanos = F.concat(F.format_string("%.0f", F.col("start_ms")), F.lit("123456"))
+    told = labels.interpolate("{service} took {ms} ms, {rest}", {"service": F.col("service"), "ms": F.format_string("%.0f", F.col("duration_ms"))})
+    return s.select("trace_id", "span_id", nanos_to_ms(nanos).alias("ms"), nanos_to_ms(F.concat(F.lit("-"), nanos)).alias("none"), labels.status_code(code).alias("status_name"), told.alias("told"), time_text(F.timestamp_millis(F.col("start_ms").cast("long"))).alias("time_of_day"))
 
 
 @table_query
@@ -324,12 +342,36 @@ def otlp_parse(spark, d):
         nanos(F.col("start_ms")).alias("startTimeUnixNano"), nanos(F.col("start_ms") + F.col("duration_ms")).alias("endTimeUnixNano"), F.struct(code.alias("code")).alias("status"),
         F.array(pair("row", "stringValue", F.col("span_id"))).alias("attributes"),
     )
-    scope = s.groupBy("trace_id", "service").agg(F.collect_list(span).alias("spans"))
+    # payloads of at most 5000 spans: about half as many in each block of a trace's service
+    size = s.groupBy("trace_id", "service").agg(F.ceil(F.count("*") * 2 / schema.BATCH).alias("blocks"))
+    block = F.pmod(F.xxhash64("span_id"), "blocks").alias("block")
+    scope = s.join(size, ["trace_id", "service"]).groupBy("trace_id", "service", block).agg(F.collect_list(span).alias("spans"))
     payload = F.struct(F.array(F.struct(F.struct(F.array(pair("service.name", "stringValue", F.col("service"))).alias("attributes")).alias("resource"), F.array(F.struct(F.struct(F.lit("replay").alias("name")).alias("scope"), F.col("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    good, _ = otlp.parse(scope.select(F.to_json(payload).alias("payload")))
+    good, _ = otlp.parse(scope.select(F.to_json(payload).alias("payload")), strict=True)
     return good.select("trace_id", "span_id", "parent_span_id", "service", "operation", "start_ms", "duration_ms", "status", F.expr("try_variant_get(attributes['row'], '$', 'string')").alias("row_attribute"))
 
 
+@table_query
+def otlp_forms(spark, d):
+    """Every span as a payload of its own: legacy groups, numeric status codes, all kinds of values, precedence of attributes."""
+    s = span_view(spark, d)
+    m = (F.col("start_ms") / 1000).cast("long")
+    whole, kind = (m % 1000).cast("string"), m % 8
+    ms, end = F.format_string("%.0f", F.col("start_ms")), F.format_string("%.0f", F.col("start_ms") + F.col("duration_ms"))
+    forms = [F.concat(F.lit('{"stringValue":"'), whole, F.lit('","intValue":7}')), F.concat(F.lit('{"intValue":"0x'), F.lower(F.hex(m % 1000)), F.lit('"}')), F.concat(F.lit('{"intValue":"1_'), whole, F.lit('"}')), F.concat(F.lit('{"intValue":'), whole, F.lit("}")), F.concat(F.lit('{"doubleValue":'), whole, F.lit(".5}")), F.lit('{"boolValue":true,"stringValue":5}'),
+        F.concat(F.lit('{"arrayValue":{"values":[{"intValue":"'), whole, F.lit('"},{},{"stringValue":"a"}]}}')), F.concat(F.lit('{"kvlistValue":{"values":[{"key":"n","value":{"intValue":'), whole, F.lit('}},{"key":"l","value":{"arrayValue":{"values":[{"boolValue":false}]}}}]}}'))]
+    value = F.element_at(F.array(*forms), (kind + 1).cast("int"))
+    legacy = m % 2 == 1
+    code = F.when(F.col("status") == "error", F.when(legacy, "2.0").otherwise('"STATUS_CODE_ERROR"')).when(F.col("status") == "ok", F.when(legacy, "1").otherwise('"1"')).otherwise(F.when(legacy, "true").otherwise('"2.0"'))
+    parent = F.coalesce(F.concat(F.lit('"parentSpanId":"'), F.col("parent_span_id"), F.lit('",')), F.lit(""))
+    span = F.concat(F.lit('{"traceId":"'), F.col("trace_id"), F.lit('","spanId":"'), F.col("span_id"), F.lit('",'), parent, F.lit('"name":"'), F.col("operation"), F.lit('","startTimeUnixNano":"'), ms, F.lit('000000","endTimeUnixNano":"'), end, F.lit('000000","status":{"code":'), code, F.lit('},"attributes":[{"key":"v","value":'), value, F.lit('},{"key":"zone","value":{"stringValue":"span"}},{"key":"otel.scope.name","value":{"stringValue":"span"}}]}'))
+    group = F.when(legacy, '"instrumentationLibrarySpans":[{"instrumentationLibrary":{"name":"old"},"spans":[').otherwise('"scopeSpans":[{"scope":{"name":"new"},"spans":[')
+    resource = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"zone","value":{"stringValue":"resource"}},{"key":"env","value":{"stringValue":"resource"}},{"key":"service.name","value":{"stringValue":"'), F.col("service"), F.lit('"}}]},'))
+    good, _ = otlp.parse(s.select(F.concat(resource, group, span, F.lit("]}]}]}")).alias("payload")), strict=True)
+    text = lambda k: F.expr(f"try_variant_get(attributes['{k}'], '$', 'string')").alias(k.replace(".", "_"))
+    return good.select("trace_id", "span_id", "parent_span_id", "service", "operation", "start_ms", "duration_ms", "status", text("v"), text("zone"), text("env"), text("otel.scope.name"), F.schema_of_variant(F.expr("attributes['v']")).alias("kind"))
+
+
 @table_query
 def native_json(spark, d):
     """Every span as native JSON and back, through the rules of the native source."""
@@ -342,7 +384,7 @@ def native_json(spark, d):
 def _scenario(name):
     def run(spark, d):
         s = scenarios.generate(prepare(spark), name)
-        return G.ordered_services(_nodes(s))
+        return G.ordered_services(G.services(S.self_time(s)))
 
     QUERIES["scenario_" + name.replace("-", "_")] = run
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import fixed_text, grouped_text
+from ..functions.numbers import fixed_text, grouped_text, time_text
 from ..operators import graph, spans as S, traces
 
 
@@ -17,15 +17,16 @@ def service_table(nodes: DataFrame, most: int = 7) -> DataFrame:
     return top.select(F.row_number().over(W.orderBy(F.desc("p95_ms"), "first_seen")).alias("i"), row.alias("line"))
 
 
-def report(spans: DataFrame, trace_id: str | None = None, title: str = "Incident report") -> DataFrame:
-    """One row with the report: totals, the selected trace, the leading hypothesis' evidence, and seven services."""
-    nodes = graph.services(S.self_time(spans))
+def report(spans: DataFrame, trace_id: str | None = None, title: str = "Incident report", generated_at: Column | None = None) -> DataFrame:
+    """One row with the report: time (now, if none is given), totals, the selected trace, the leading hypothesis' evidence, and seven
+    services."""
+    nodes = graph.service_table(S.self_time(spans))
     hyp = graph.ranked(graph.hypotheses(nodes)).filter("rank = 1").select(F.col("service").alias("leading"), "evidence")
     total = graph.totals(spans)
     table = service_table(nodes).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("rows"))
     one = total.join(F.broadcast(table)).join(F.broadcast(hyp), how="left")
     lines = [
-        F.lit(f"# {title}"), F.lit(""), F.lit("## Summary"), F.lit(""), F.concat(F.lit("- Traces: "), F.format_number("traces", 0)), F.concat(F.lit("- Services: "), F.format_number("services", 0)),
+        F.lit(f"# {title}"), F.lit(""), F.lit("## Summary"), F.lit(""), F.concat(F.lit("- Generated at: "), time_text(generated_at if generated_at is not None else F.current_timestamp())), F.concat(F.lit("- Traces: "), F.format_number("traces", 0)), F.concat(F.lit("- Services: "), F.format_number("services", 0)),
         F.concat(F.lit("- Error rate: "), fixed_text(F.col("error_rate") * 100), F.lit("%")), F.concat(F.lit("- Leading service: "), F.coalesce("leading", F.lit("—"))),
     ]
     parts = [F.array(*lines)]

@@ -11,6 +11,9 @@ SETTINGS = {
     # tables that are dealt by trace stay so for joins on (trace, span): one exchange serves windows, joins and aggregations
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
+    # batches for Python by bytes, as payloads can be large
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import COLUMNS, SPAN
@@ -28,10 +30,11 @@ class SpanStore:
     def save(self, spans: DataFrame, batch: int | None = None) -> dict[str, int]:
         """Appends a batch and acknowledges it: rows and distinct traces. An empty batch writes nothing.
 
-        Of rows that repeat a key, the one in the later batch, or later in the batch, counts. A batch that a stream runs again
+        Of rows that repeat a key, the one saved later, or later in the batch, counts. A batch's number only tells it from others:
+        the caller's, or a random one, so that writers need not know of each other. A batch that a stream runs again
         has the same places, and is acknowledged with the same numbers.
         """
-        n = batch if batch is not None else (self.raw().agg(F.max("batch")).first()[0] or 0) + 1
+        n = batch if batch is not None else -(uuid.uuid4().int >> 65) - 1
         rows = spans.select(*COLUMNS, F.current_timestamp().alias("ingested_at"), F.lit(n).cast("long").alias("batch"), F.monotonically_increasing_id().alias("place"))
         if rows.isEmpty():
             return {"accepted": 0, "traces": 0}
@@ -41,7 +44,7 @@ class SpanStore:
     def spans(self) -> DataFrame:
         """The last version of each span, with the time when its first came."""
         raw = self.raw()
-        last = latest(raw.drop("ingested_at"), KEY, ["batch", "place"])
+        last = latest(raw.withColumnRenamed("ingested_at", "saved_at"), KEY, ["saved_at", "batch", "place"])
         first = raw.groupBy(*KEY).agg(F.min("ingested_at").alias("ingested_at"))
         return last.join(first, KEY).select(*COLUMNS, "ingested_at")
 

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder where it is unset and one machine runs all, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = spark._shared_dir = "file://" + tempfile.mkdtemp(prefix="spans-")
     return found.rstrip("/")
 

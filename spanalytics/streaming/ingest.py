@@ -12,14 +12,7 @@ from ..plans import api
 from ..schema import split_valid
 from ..sources import native, otlp
 from ..sources.store import SpanStore
-
-NOTICE = "event string, span_count long, trace_count long, batch long, at timestamp"
-
-
-def notice(store: SpanStore, event: str, spans: DataFrame, batch: int) -> DataFrame:
-    ack = store.save(spans, batch)
-    return store.spark.createDataFrame([(event, ack["accepted"], ack["traces"], batch)], "event string, span_count long, trace_count long, batch long").withColumn("at", F.current_timestamp())
-
+from .notices import announce
 
 def refresh(store: SpanStore, views: str) -> None:
     """Recomputes the overview and the trace list over all spans and writes them as tables below ``views``."""
@@ -31,7 +24,7 @@ def start(spark: SparkSession, source: str, store: SpanStore, notices: str, chec
     """Runs over the files of ``source`` that have come so far, and stops. kind: native JSON lines, or otlp payloads (a file each).
     views: where to refresh the batch views after each micro-batch.
 
-    A batch that is run again after a failure overwrites its notice and appends rows with the same batch number and
+    A notice tells that the stream is ready, and one of each batch. A batch that is run again after a failure overwrites its notice and appends rows with the same batch number and
     keys, which the store reads as one version.
     """
     if kind == "native":
@@ -41,10 +34,11 @@ def start(spark: SparkSession, source: str, store: SpanStore, notices: str, chec
 
     def take(rows: DataFrame, batch: int) -> None:
         good = split_valid(native.rows(rows))[0] if kind == "native" else otlp.parse(rows)[0]
-        notice(store, "ingest", good, batch + 1).write.mode("overwrite").parquet(f"{notices}/batch={batch}")
+        announce(spark, notices, "ingest", store.save(good, batch + 1), batch=batch)
         if views:
             refresh(store, views)
 
+    announce(spark, notices, "ready")
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -9,7 +9,7 @@ from spanalytics import schema
 from spanalytics.plans import api
 from spanalytics.sources import native, otlp, scenarios
 from spanalytics.sources.store import SpanStore
-from spanalytics.streaming import ingest
+from spanalytics.streaming import ingest, notices
 
 
 def attr(key, **value):
@@ -41,6 +41,7 @@ def test_otlp_legacy_and_nested():
     "value, want",
     [
         ({"intValue": ""}, 0), ({"intValue": "x"}, "x"), ({"doubleValue": 1.5}, 1.5), ({"bytesValue": "aGk="}, "aGk="), ({}, None), ({"stringValue": 5, "boolValue": False}, False),
+        ({"intValue": "0x10"}, 16), ({"intValue": "1_0"}, "1_0"), ({"intValue": " 12 "}, 12), ({"intValue": "1e3"}, 1000), ({"intValue": "-0x1"}, "-0x1"), ({"intValue": "Infinity"}, "Infinity"), ({"intValue": "nan"}, "nan"), ({"intValue": 10**400}, "1" + "0" * 400), ({"stringValue": "\ud800"}, "\ufffd"),
         ({"kvlistValue": {"values": [{"key": "a", "value": {"arrayValue": {"values": [{"intValue": 1}, {}]}}}]}}, '{"a":"[1]"}'),
     ],
 )
@@ -63,6 +64,35 @@ def test_otlp_skips_and_defaults():
     assert otlp.millis(str(2**64 - 1)) == pytest.approx((2**64 - 1) / 1e6)
 
 
+@pytest.mark.parametrize("code, want", [(2, "error"), (2.0, "error"), ("2", "error"), ("2.0", "unset"), (1, "ok"), (True, "unset"), (None, "unset"), ([2], "unset"), ("STATUS_CODE_OK", "ok")])
+def test_otlp_status(code, want):
+    assert otlp.decode(json.dumps(payload([span(status={"code": code})])))[0]["status"] == want
+
+
+def test_otlp_deep_and_odd_payloads(spark):
+    deep = json.dumps(payload([span()])).replace('"503"}', '"503"}, "arrayValue": ' + "[" * 100_000 + "]" * 100_000)
+    nested = attr("x", arrayValue={"values": []})
+    for _ in range(3000):
+        nested = attr("x", arrayValue={"values": [nested["value"]]})
+    with pytest.raises(otlp.Rejected, match="deep"):
+        otlp.decode(deep)
+    texts = [deep, json.dumps(payload([span()])), json.dumps(payload([span(name="a\ud800", attributes=[attr("k\udfff", stringValue="\ud83d")])]))]
+    good, bad = otlp.parse(spark.createDataFrame([(t,) for t in texts], "payload string"))
+    assert sorted(r.operation for r in good.collect()) == ["POST /checkout", "a\ufffd"] and bad.count() == 1
+    try:
+        deepest = json.dumps(payload([span(attributes=[nested])]))
+    except RecursionError:
+        return
+    with pytest.raises(otlp.Rejected, match="deep"):
+        otlp.decode(deepest)
+
+
+def test_otlp_batches_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(json.dumps(payload([span(spanId=f"{i}-{j}") for j in range(900)])),) for i in range(12)], "payload string").coalesce(1)
+    good, bad = otlp.parse(rows)
+    assert good.count() == 12 * 900 == good.select("span_id").distinct().count() and bad.isEmpty()
+
+
 def test_otlp_table(spark):
     rows = spark.createDataFrame([(json.dumps(payload([span(), span(spanId="s2")])),), ("nope",), (None,)], "payload string")
     good, bad = otlp.parse(rows)
@@ -143,8 +173,29 @@ def test_stream(spark, tmp_path):
     assert store.spans().count() == 2 and store.spans().filter("span_id = 'a'").first().duration_ms == 50
     assert spark.read.parquet(str(tmp_path / "views/totals")).first().spans == 2
     assert spark.read.parquet(str(tmp_path / "views/traces")).first().duration_ms == 50.0
-    got = spark.read.parquet(str(tmp_path / "notices")).orderBy("batch").collect()
-    assert [(r.event, r.span_count, r.trace_count) for r in got] == [("ingest", 2, 1), ("ingest", 1, 1)]
+    got = notices.read(spark, str(tmp_path / "notices"))
+    assert [(r.event, r.span_count, r.trace_count) for r in got.filter("batch is not null").orderBy("batch").collect()] == [("ingest", 2, 1), ("ingest", 1, 1)]
+    assert got.filter("event = 'ready'").count() == 2
+
+
+def test_notices(spark, tmp_path):
+    store, at = SpanStore(spark, str(tmp_path / "s")), str(tmp_path / "notices")
+    api.run_scenario(store, "stable", 4, notices=at)
+    api.clear(store, notices=at)
+    got = {r.event: r for r in notices.read(spark, at).collect()}
+    assert (got["scenario"].scenario, got["scenario"].span_count, got["scenario"].trace_count) == ("stable", 28, 4) and got["reset"].span_count is None
+    with pytest.raises(ValueError):
+        notices.announce(spark, at, "other")
+
+
+def test_writers_that_do_not_know_of_each_other(spark, tmp_path):
+    """The later save counts, whatever the batches' numbers."""
+    one_, two = (SpanStore(spark, str(tmp_path / "w")) for _ in range(2))
+    rows = lambda ms: scenarios.generate(spark, "stable", 4).withColumn("duration_ms", F.lit(float(ms)))
+    one_.save(rows(1), 50)
+    two.save(rows(2))
+    one_.save(rows(3), 7)
+    assert {r.duration_ms for r in two.spans().collect()} == {3.0} and two.raw().select("batch").distinct().count() == 3
 
 
 def test_repeated_batch_is_acknowledged_alike(spark, tmp_path):
