@@ -6,7 +6,8 @@ tests are taken over that alphabet: chi-squared uniformity, Wald-Wolfowitz runs
 correlation. Fisher's statistic S of the three is small for random strings. Tokens made of words are the reference for
 ordinary text; the share of them, in a length band, with an S as small is a token's p-value for "ordinary". The
 Benjamini-Hochberg rule within the band, over histograms of S, gives the band's cutoff, so long and short tokens
-are held to the same false-discovery rate. Thresholds are one row a band.
+are held to the same false-discovery rate. Thresholds are one row a band, from distinct tokens. A band
+with fewer ordinary tokens than 1 / rate - 1 (99 by default) can't show so small a rate, and takes none.
 """
 
 from __future__ import annotations
@@ -32,18 +33,27 @@ def _quoted(s: str) -> str:
     return "r'" + s.replace("'", "\\x27") + "'"
 
 
+#: Matches whose places are found in one run; a longer list goes by blocks, as appending to one list is quadratic in it.
+BLOCK = 256
+
+
 def matches(text: str, pattern: str, group: int = 1) -> str:
     """SQL for the array of (s, e, v) of a pattern's matches: start, end and group, counted in code points.
 
-    Matches and the gaps between them come from one pass each; the second is taken only where there is a match.
+    Matches and the gaps between them come from one pass each; the second is taken only where there is a match. Places are
+    running sums of gaps and matches: first over blocks of matches, then within each block.
     """
     p = _quoted(pattern)
     kind = "array<struct<s:int,e:int,v:string>>"
+    state = f"struct<at:int,found:{kind}>"
+    within = f"""aggregate(b, cast(struct(s as at, array() as found) as {state}),
+        (acc, x) -> cast(struct(acc.at + x.g + x.n as at, concat(acc.found, array(struct(acc.at + x.g as s, acc.at + x.g + x.n as e, x.v as v))) as found) as {state}), acc -> acc.found)"""
+    starts = """aggregate(bs, cast(struct(0 as at, array() as found) as struct<at:int,found:array<int>>),
+        (acc, b) -> cast(struct(aggregate(b, acc.at, (t, x) -> t + x.g + x.n) as at, concat(acc.found, array(acc.at)) as found) as struct<at:int,found:array<int>>), acc -> acc.found)"""
     return f"""transform(array(regexp_extract_all({text}, {p}, 0)), m -> if(size(m) = 0, cast(array() as {kind}),
-        aggregate(zip_with(zip_with(m, regexp_extract_all({text}, {p}, {group}), (a, v) -> struct(a, v)), slice(split({text}, {p}, -1), 1, size(m)), (x, g) -> struct(length(g) as g, length(x.a) as n, x.v as v)),
-            cast(struct(0 as at, array() as found) as struct<at:int,found:{kind}>),
-            (acc, x) -> cast(struct(acc.at + x.g + x.n as at, concat(acc.found, array(struct(acc.at + x.g as s, acc.at + x.g + x.n as e, x.v as v))) as found) as struct<at:int,found:{kind}>),
-            acc -> acc.found)))[0]"""
+        transform(transform(array(zip_with(zip_with(m, regexp_extract_all({text}, {p}, {group}), (a, v) -> struct(a, v)), slice(split({text}, {p}, -1), 1, size(m)), (x, g) -> struct(length(g) as g, length(x.a) as n, x.v as v))),
+            z -> transform(sequence(0, (size(z) - 1) div {BLOCK}), i -> slice(z, cast(i * {BLOCK} + 1 as int), {BLOCK}))),
+            bs -> flatten(zip_with(bs, {starts}, (b, s) -> {within})))[0]))[0]"""
 
 
 def _normal(z: str) -> str:
@@ -87,9 +97,11 @@ def band(length: Column) -> Column:
 
 
 def cutoffs(tokens: DataFrame, rate: float) -> DataFrame:
-    """(band, cutoff): the largest bin of S taken for random; bands without one are left out. tokens: (tok, bin)."""
+    """(band, cutoff): the largest bin of S taken for random; bands without one are left out. tokens: (tok, bin).
+
+    A token counts once, however many texts hold it: copies are no evidence that ordinary tokens look random."""
     ordinary = F.col("tok").rlike(ORDINARY)
-    n = tokens.groupBy(band(F.length("tok")).alias("band"), "bin").agg(F.count_if(ordinary).alias("ref"), F.count_if(~ordinary).alias("cand"))
+    n = tokens.distinct().groupBy(band(F.length("tok")).alias("band"), "bin").agg(F.count_if(ordinary).alias("ref"), F.count_if(~ordinary).alias("cand"))
     up_to = W.partitionBy("band").orderBy("bin")
     whole = W.partitionBy("band")
     n = n.select("band", "bin", F.sum("ref").over(up_to).alias("ref_le"), F.sum("cand").over(up_to).alias("cand_le"), F.sum("ref").over(whole).alias("refs"), F.sum("cand").over(whole).alias("cands"))
@@ -123,8 +135,3 @@ def find_secrets(docs: DataFrame, keep: list[str], rate: float = 0.01) -> DataFr
     names = common.free(keep, ["base", "spans"])
     return scored.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("base").alias(names[0]), spans.alias(names[1]))
 
-
-def written(spans: str) -> Column:
-    """kind:start:end, comma-joined."""
-    name = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.kind + 1)"
-    return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', {name}, x.start, x.end)), ',')")
