@@ -69,7 +69,10 @@ def parse(data: bytes) -> dict:
 
 
 def members(read, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of the WARC members that start in [start, end). read(offset, length) gives bytes."""
+    """(offset, inflated bytes) of the WARC members that start in [start, end). read(offset, length) gives bytes.
+
+    Bytes that look like a member and don't inflate to a WARC header are passed over; a member that begins with one and is
+    damaged or cut short raises ValueError."""
     at = start
     buffer, base = b"", start  # buffer holds the bytes from base on
     while at < end:
@@ -92,7 +95,8 @@ def members(read, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
                     if not more:
                         break
                     buffer += more
-                part = buffer[pos : pos + CHUNK]
+                # little at first, so that a damaged member is known by its header
+                part = buffer[pos : pos + (CHUNK if good else 512)]
                 out.append(z.decompress(part))
                 pos += len(part)
                 if not good and (got := sum(map(len, out))) >= 7:
@@ -102,7 +106,10 @@ def members(read, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
                     del got
             good = good and z.eof
         except zlib.error:
-            good = False
+            if good:
+                raise ValueError(f"the record at byte {at} is damaged") from None
+        if not good and b"".join(out)[:7] == b"WARC/1.":
+            raise ValueError(f"the record at byte {at} is cut short")
         if good:
             used = pos - len(z.unused_data)
             yield at, b"".join(out)
@@ -162,6 +169,12 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, split: int = 8 <
     return common.arrow(ranges.repartition(int(max(1, min(n, 10_000))), "file", "start"), run, schema)
 
 
+def incomplete(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, records, found) of the archives of which not as many records were read as were written."""
+    found = records.groupBy("file").agg(F.count("*").alias("found"))
+    return manifest.join(found, "file", "left").select("file", "records", F.coalesce("found", F.lit(0).cast("long")).alias("found")).filter("records <> found")
+
+
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Adds refers_to: of rows with equal payloads of at least ``least`` bytes, all but those of the largest page_id
     revisit it. Rows that repeat that page_id are responses too; rows with a null page_id revisit the largest that is
@@ -174,8 +187,13 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, split: int = 8 << 20) -> DataFrame:
-    """Writes an archive of all pages and reads it back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Writes an archive of all pages and reads it back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    Raises where an archive doesn't give back as many records as were written to it."""
     spark = pages.sparkSession
     folder = common.new_folder(spark, "warc")
     manifest = write(with_revisits(pages), folder)
-    return read(spark, manifest, folder, split, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = common.materialize(read(spark, manifest, folder, split, payloads=False), "records")
+    if (bad := incomplete(manifest, records).first()) is not None:
+        raise ValueError(f"{bad['file']}: {bad['found']} of {bad['records']} records were read")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
