@@ -3,9 +3,9 @@
 Each partition is one stream of token ids in the order of its rows. Candidate cuts are ends of documents, ends of
 sentences and, where neither comes for a while, plain positions. The cost of a sequence is its padding plus a penalty
 for where it is cut; f[j] = min over i in (j - size, j) of f[i] + padding(j - i) + penalty(j) is a sliding-window minimum of
-f[i] + i, kept in a monotone queue, so the work is linear in the number of candidates. Memory is bounded: the
-program runs over a buffer of tokens, and the sequences that it settles on are given out, but for the last one, whose
-start carries over. There is no shuffle: packing is independent in each partition.
+f[i] + i, kept in a monotone queue, so the work is linear in the number of candidates. The program runs over the first
+BUFFER tokens that are held, as often as there are so many, and the sequences that it settles on are given out, but for
+the last one, whose start carries over; so a task holds the ids of its longest text (as an array) and a buffer. There is no shuffle: packing is independent in each partition.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str
             ends = np.cumsum([len(x[1]) - x[3] for x in held])
             starts = ends - [len(x[1]) - x[3] for x in held]
             inner = np.concatenate([x[2][x[2] > x[3]] - x[3] + s for x, s in zip(held, starts)])
-            at = cuts(n, ends, inner, size, final)
+            at = cuts(n if final else min(n, BUFFER), ends, inner, size, final)
             if final and len(at) > 1 and (k := tail(at[-1] - at[-2], size)):
                 at[-1:] = (at[-2] + np.cumsum(k)).tolist()
             rows = {f: [] for f in (id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str
                 ids = np.append(tok(text), np.uint32(end_id)).astype(np.uint32)
                 held.append((key, ids, np.flatnonzero(tok.ends[ids[:-1]]) + 1, 0))
                 n += len(ids)
-                if n >= BUFFER:
+                while n >= BUFFER:
                     yield flush(False)
         if n:
             yield flush(True)
