@@ -9,13 +9,16 @@ an item of m words if some stretch of it is within edit distance floor((1 - simi
 * CGK: from each window start a random walk reads a word, writes it, and stays or moves on by a random bit of the
   word and the step. Two windows at small edit distance get walks at small Hamming distance with constant probability.
 * LSH: each of the repeated embeddings (own random bits) is sampled at random steps for several tables. A window
-  as long as the item that agrees with it on all sampled steps of a table is a candidate. The number of tables is set by
-  a target recall, which the walks reach for short items only: they re-couple ever more seldom.
+  as long as the item, of an item that the filter admits nearby, that agrees with it on all sampled steps of a table is a
+  candidate. The number of tables is set by a target recall, which the walks reach for short items only: they re-couple
+  ever more seldom.
 * Verification: the exact edit distance of the item to the best stretch around the window.
 * Completion: every item that the filter admits at a stretch, and that was not found there without an edit, is verified too
   where the lemma's bound for the whole item holds. So no match is lost, and the edits are the least, for any length.
 
-The items go to the executors in blocks of a checked size; each block is matched against all documents.
+The items go to the executors in blocks; each block is matched against all documents. An item's text is in one block, once,
+with the list of its ids. A block's index is built on the driver and broadcast: the blocks are so many that an index takes about
+BLOCK_BYTES, reckoned from the numbers of items and words (a longer item is a block of its own).
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Words of items in a block at most (a larger item is a block of its own).
-BLOCK_WORDS = 2_000_000
+#: Bytes of a block's index, about; and what an item and each of its words take in it: signatures and their tables of low bits
+#: (60 tables of 16 + 2 * SLOTS bytes); the words, their pairs, and the postings with theirs.
+BLOCK_BYTES, ITEM_BYTES, WORD_BYTES = 96 << 20, 3000, 64
+#: Entries of the tables of low bits for each signature.
+SLOTS = 16
 #: Words of an item from which on the filter looks at blocks of ten of its words.
 LONG = 20
 SAMPLES = 4
@@ -111,14 +117,6 @@ def embed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, se
     return out
 
 
-def length_class(m: int) -> int:
-    """The window length that stands for items of m words: the largest of 1, 2, 3, 4, 5, 7, 9, 12, ... up to m."""
-    w = 1
-    while (n := max(w + 1, w * 5 // 4)) <= m:
-        w = n
-    return w
-
-
 def edit_within(item: np.ndarray, region: np.ndarray) -> int:
     """Least edit distance of the item to any stretch of the region."""
     row = np.zeros(len(region) + 1, np.int32)
@@ -143,7 +141,7 @@ class Index:
     filters: list  # (Postings, function of a document's words that gives their keys, span, need)
     lengths: list[int]
     reps: int
-    tables: list  # [length][rep] -> (samples (tables, SAMPLES), sorted signatures, item numbers, low bits)
+    tables: dict  # length -> [rep] -> (samples (tables, SAMPLES), sorted signatures, item numbers, low bits)
     most: int
 
 
@@ -169,13 +167,16 @@ def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: f
     keep = [i for i, s in enumerate(seqs) if len(s)]
     ids, items = [ids[i] for i in keep], [seqs[i] for i in keep]
     of = lambda a, b: [i for i, s in enumerate(items) if a <= len(s) < b]
-    lengths = sorted({length_class(len(s)) for s in items})
+    lengths = sorted({len(s) for s in items})
+    by_length: dict[int, list[int]] = {m: [] for m in lengths}
+    for i, x in enumerate(items):
+        by_length[len(x)].append(i)
     per = tables_needed(share, recall, reps)
     r = np.random.default_rng(seed)
-    tables = []
+    tables = {}
     for m in lengths:
-        mine = [i for i, s in enumerate(items) if length_class(len(s)) == m]
-        flat = np.concatenate([items[i][:m] for i in mine])
+        mine = by_length[m]
+        flat = np.concatenate([items[i] for i in mine])
         starts = np.arange(len(mine), dtype=np.int64) * m
         row = []
         for rep in range(reps):
@@ -184,10 +185,10 @@ def build(ids: list, texts: list[str | None], similarity: float = 0.8, recall: f
             sig = signatures(embed(flat, starts, starts + m, max(1, m * 3 // 2), rep), samples, m).ravel()
             order = np.argsort(sig, kind="stable")
             # most signatures are told off by a table of low bits, before the sorted array is searched
-            low = np.zeros(1 << max(14, len(sig).bit_length() + 6), bool)
+            low = np.zeros(1 << (len(sig) * SLOTS).bit_length(), bool)
             low[sig & np.uint64(len(low) - 1)] = True
             row.append((samples, sig[order], np.tile(np.array(mine), per)[order], low))
-        tables.append(row)
+        tables[m] = row
     filters = []
     for a, b in [*((m, m + 1) for m in range(1, LONG)), (LONG, 1 << 60)]:
         if rows := of(a, b):
@@ -288,6 +289,7 @@ def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 13) -> list[list[t
     found: list[dict[int, int]] = [{} for _ in docs]
     near = [admitted(ix, a) for a in docs]
     spots = [(d, s, e) for d, a in enumerate(docs) for s, e in regions(ix, a, near[d][0])]
+    lengths = [sorted({len(ix.items[i]) for i in np.unique(item).tolist()}) for _, item in near]
     part: list = []
     n = 0
     for k, spot in enumerate(spots):
@@ -295,12 +297,12 @@ def match(ix: Index, docs: list[np.ndarray], step: int = 1 << 13) -> list[list[t
         d, s, e = spot
         most = max(step, 8 * ix.most)
         while e - s > most:
-            _match_part(ix, docs, [(d, s, s + most)], found)
+            _match_part(ix, docs, [(d, s, s + most)], found, lengths[d])
             s += most - 2 * ix.most - 2
         part.append((d, s, e))
         n += e - s
         if n >= step or k + 1 == len(spots):
-            _match_part(ix, docs, part, found)
+            _match_part(ix, docs, part, found, sorted({m for d_, _, _ in part for m in lengths[d_]}))
             part, n = [], 0
     for a, (at, item), f in zip(docs, near, found):
         _complete(ix, a, at, item, f)
@@ -329,7 +331,7 @@ def _complete(ix: Index, a: np.ndarray, at: np.ndarray, item: np.ndarray, found:
                     found[i] = x
 
 
-def _match_part(ix: Index, docs, spots, found) -> None:
+def _match_part(ix: Index, docs, spots, found, lengths: list[int]) -> None:
     flat = np.concatenate([docs[d][s:e] for d, s, e in spots])
     sizes = np.array([e - s for _, s, e in spots])
     ends = np.cumsum(sizes)
@@ -338,9 +340,9 @@ def _match_part(ix: Index, docs, spots, found) -> None:
     limit = ends[owner]
     met: dict[tuple[int, int], set] = {}
     for rep in range(ix.reps):
-        walk = embed(flat, starts, limit, max(1, ix.most * 3 // 2), rep)
-        for m, row in zip(ix.lengths, ix.tables):
-            samples, sig, item, low = row[rep]
+        walk = embed(flat, starts, limit, max(1, lengths[-1] * 3 // 2), rep)
+        for m in lengths:
+            samples, sig, item, low = ix.tables[m][rep]
             own = signatures(walk, samples, m).ravel()
             maybe = np.flatnonzero(low[own & np.uint64(len(low) - 1)])
             own = own[maybe]
@@ -371,16 +373,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], item_c
     A null, empty or wordless text holds nothing; a null, empty or wordless item is held by nothing. Repeated items (or
     ids) each count; repeated documents get the same hits each. Without items every document has no hits.
     """
-    total = benchmark.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_WORDS))
+    texts = benchmark.groupBy("text").agg(F.collect_list(F.struct(F.col(item_col).alias("id"))).alias("ids"))
+    words = F.size(F.split(F.trim("text"), r"[^\p{L}\p{N}]+"))
+    total = texts.filter("text is not null").agg(F.sum(words * WORD_BYTES + ITEM_BYTES)).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
     hit = f"array<struct<item:{benchmark.schema[item_col].dataType.simpleString()},edits:int,words:int>>"
     out, cols = docs, []
     for b in range(blocks):
-        rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(item_col, "text").orderBy(item_col, "text").collect()
-        ix = build([r[0] for r in rows], [r[1] for r in rows], similarity)
+        rows = texts.filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text").collect()
+        ix = build([[x["id"] for x in r["ids"]] for r in rows], [r["text"] for r in rows], similarity)
 
         def work(texts, ix=ix):
-            return [[[{"item": ix.ids[i], "edits": x, "words": len(ix.items[i])} for i, x in found] for found in match(ix, word_ids(texts))]]
+            return [[[{"item": x, "edits": k, "words": len(ix.items[i])} for i, k in found for x in ix.ids[i]] for found in match(ix, word_ids(texts))]]
 
         before = [c for c in dict.fromkeys([*keep, "text"])] if b + 1 < blocks else keep
         out = common.per_text(out, [*before, *cols], f"hits {hit}", work)
