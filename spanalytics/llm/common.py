@@ -23,9 +23,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set and one
+    machine runs all, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = getattr(spark, "_llm_shared", None) or "file://" + tempfile.mkdtemp(prefix="llm-")
         spark._llm_shared = found
     return found.rstrip("/")

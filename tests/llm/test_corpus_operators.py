@@ -170,9 +170,10 @@ def test_components(spark):
 def test_packing_round_trip(spark, docs, none, corpus):
     files = registry.tokenizer_files()
     tok = packing.Tokenizer(*files)
-    extra = docs.select("doc_id", "text").union(spark.createDataFrame([(900, "a <|endoftext|> b"), (901, "<|endoftext|>" * 3)], "doc_id long, text string"))
+    huge = prose(random.Random(2), "en", 200_000)  # more tokens than the buffer
+    extra = docs.select("doc_id", "text").union(spark.createDataFrame([(900, "a <|endoftext|> b"), (901, "<|endoftext|>" * 3), (902, huge)], "doc_id long, text string"))
     rows = packing.pack(extra, *files).collect()
-    texts = {i: t for i, t, *_ in corpus if i is not None} | {900: "a <|endoftext|> b", 901: "<|endoftext|>" * 3}
+    texts = {i: t for i, t, *_ in corpus if i is not None} | {900: "a <|endoftext|> b", 901: "<|endoftext|>" * 3, 902: huge}
     pieces, seqs = defaultdict(list), defaultdict(list)
     for x in rows:
         pieces[x.doc_id].append(x)
@@ -239,6 +240,22 @@ def test_members_behind_false_magic():
         warc.parse(zlib.decompress(bytes(broken), 31).replace(b"aaa", b"bbb"))
 
 
+def test_damaged_archives_are_not_passed_over():
+    blob = warc.build(1, None, random.Random(1).randbytes(5000), None)
+    every = lambda b: list(warc.members(lambda o, k: b[o : o + k], len(b), 0, len(b)))
+    assert len(every(blob)) == 1
+    with pytest.raises(ValueError, match="cut short"):
+        every(blob[:-100])
+    with pytest.raises(ValueError, match="damaged|cut short"):
+        every(blob[:2000] + bytes(200) + blob[2200:])
+
+
+def test_records_that_are_lost_are_told(spark):
+    manifest = spark.createDataFrame([("a", 9, 2), ("b", 9, 1), ("c", 9, 1)], "file string, bytes long, records long")
+    records = spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "file string")
+    assert {tuple(x) for x in warc.incomplete(manifest, records).collect()} == {("b", 1, 2), ("c", 1, 0)}
+
+
 def test_round_trip(spark):
     import hashlib
 
@@ -315,6 +332,16 @@ def test_stages_on_edge_cases(spark, docs, none, tmp_path):
         assert corpus_pipeline.pack(spark, rows, str(tmp_path)).filter("length <= 0").isEmpty()
 
 
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    """The smallest id of a group stays, once; of its texts the shortest."""
+    r = random.Random(12)
+    a, b, c = (prose(r, "en", 40) for _ in range(3))
+    rows = [(1, a + " longer", "en"), (1, a, "en"), (1, a, None), (2, a, "en"), (3, b, "en"), (3, b, "en"), (4, None, "de"), (4, "", "de"), (None, a, "en"), (None, a, "en"), (5, c, "en"), (6, c + " end", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, a, None), (3, b, "en"), (4, "", "de"), (5, c, "en"), (None, a, "en"), (None, a, "en")], key=str)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     r = random.Random(21)
     rows = [(i, prose(r, ("en", "de")[i % 2], 60), ("en", "de")[i % 2], "s") for i in range(200)]

@@ -166,6 +166,14 @@ def test_secrets_against_brute_force(spark, docs, none):
     assert secrets.find_secrets(none, none.columns).isEmpty()
 
 
+def test_many_secrets_in_one_text(spark):
+    """Places over many blocks of matches."""
+    r = random.Random(7)
+    text = " ".join(f"token={'x' * r.randrange(3, 12)}é" + " " * r.randrange(3) for _ in range(5000))
+    (row,) = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()
+    assert [tuple(x) for x in row.base] == brute_secrets(text) and len(row.base) > 2 * secrets.BLOCK
+
+
 def test_random_tokens_are_found(spark):
     r = random.Random(3)
     ordinary = ["".join(r.choice(["tion", "ment", "ing", "over", "the"]) for _ in range(8)) for _ in range(400)]
@@ -434,19 +442,42 @@ def test_decontamination_filter_keeps_every_placement():
         assert all([i for i, _ in f] == [n] for f in D.match(ix, D.word_ids([" ".join(d) for d in docs])))
 
 
+def test_decontamination_filter_alone_is_lossless():
+    """Before any walk: the item is admitted wherever it stands with as many edits as the limit allows, of any kind."""
+    r = random.Random(31)
+    items = [words(r, n) for n in [*range(5, 45), 60, 90, 150]]
+    ix = D.build(list(range(len(items))), [" ".join(x) for x in items])
+    for n, item in enumerate(items):
+        for _ in range(12):
+            text = words(r, 20) + edited(r, item, D.edits(len(item), 0.8)) + words(r, 20)
+            at, admitted = D.admitted(ix, D.word_ids([" ".join(text)])[0])
+            assert n in admitted.tolist()
+
+
+def test_decontamination_index_is_as_large_as_reckoned():
+    """The index of a block of short items and of long ones stays within what the blocks are cut by."""
+    import pickle
+
+    r = random.Random(5)
+    for n, m in ((8000, 6), (2000, 40), (60, 3000)):
+        texts = [" ".join(words(r, m)) for _ in range(n)]
+        size = len(pickle.dumps(D.build(list(range(n)), texts)))
+        assert size <= n * (D.ITEM_BYTES + m * D.WORD_BYTES) * 1.25 + (2 << 20)
+
+
 def test_decontamination_table(spark, docs, none, corpus):
     r = random.Random(7)
     long_ = next(t for i, t, *_ in corpus if i == 500).split()
-    bench = spark.createDataFrame([(1, " ".join(long_[31000:31040])), (2, None), (3, " "), (4, " ".join(words(r, 30))), (5, "the house which never was in the light of the water and people"), (5, "the house which never was in the light of the water and people")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long_[31000:31040])), (2, None), (3, " "), (4, " ".join(words(r, 30))), (5, "the house which never was in the light of the water and people"), (None, "the house which never was in the light of the water and people"), (5, "the house which never was in the light of the water and people")], "item_id long, text string")
     got = {x.doc_id: x.hits_ for x in D.decontaminate(docs, bench, docs.columns).collect()}
     assert got[500][0].item == 1 and got[500][0].edits == 0 and got[400] == [] and got[501] == []
     assert D.decontaminate(none, bench, none.columns).isEmpty()
     assert D.decontaminate(docs, bench.filter("false"), ["doc_id"]).filter("size(hits) > 0").isEmpty()
     try:
-        D.BLOCK_WORDS, before = 20, D.BLOCK_WORDS
+        D.BLOCK_BYTES, before = 3500, D.BLOCK_BYTES
         again = {x.doc_id: x.hits_ for x in D.decontaminate(docs, bench, docs.columns).collect()}
     finally:
-        D.BLOCK_WORDS = before
+        D.BLOCK_BYTES = before
     assert again == got
 
 
