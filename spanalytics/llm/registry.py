@@ -76,9 +76,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (common.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_langid, op5_warc, op6_toolcalls, op7_decontamination, op8_neardup, op9_packing, op10_toxicity)}
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern part of op1's result, which SQL can express."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern part of op2's result."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and base rules of op3's result."""
+    return op3_quality(spark, sf_dir).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_langid, op5_warc, op6_toolcalls, op7_decontamination, op8_neardup, op9_packing, op10_toxicity, base_pii, base_secrets, base_quality)}
+
+#: The words of the key before an assigned secret, in letters of either case.
+_KEYS = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 
 SQL = {
+    "base_pii": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+            list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM t)
+        SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+            CAST(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS BIGINT), 256) > 255)) = 0)) AS BIGINT) AS n_ip,
+            CAST(len(list_filter(card, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(x)), lambda i: list_extract([CAST(reverse(x)[i + 1] AS INTEGER), [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse(x)[i + 1] AS INTEGER) + 1]], i % 2 + 1))) % 10 = 0)) AS BIGINT) AS n_card,
+            CAST(len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+        FROM m""",
+    "base_secrets": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, 'KEYS["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+            CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+        FROM t""".replace("KEYS", _KEYS),
+    "base_quality": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+        w AS (SELECT doc_id, i, ws[i : i + 4] AS five FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM t)),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(ws, '')), 0) AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(ws) AS base_failed
+        FROM t LEFT JOIN r USING (doc_id)""",
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS n, lower(sha1(payload)) AS digest FROM p),

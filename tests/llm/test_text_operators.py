@@ -584,3 +584,21 @@ def test_nnpu_risk_separates():
     u = [[(0, 1.0)] if r.random() < 0.2 else [] for _ in range(1000)]
     w, b = toxicity.fit(p, u, 1, 0.2)
     assert 1 / (1 + np.exp(-w[0] - b)) > 0.6 and 1 / (1 + np.exp(-b)) < 0.15
+
+
+# the queries' base columns -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["base_pii", "base_secrets", "base_quality"])
+def test_base_columns_against_sql(spark, name):
+    import duckdb
+
+    from spanalytics.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, sf)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
