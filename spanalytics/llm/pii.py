@@ -232,10 +232,11 @@ def undecided(p, hs: np.ndarray) -> np.ndarray:
     """
     _, steps, n, _ = hs.shape
     w = p["W"][:, :, 1:] - p["W"][:, :, :1]
-    one, two = ((w[d].T @ hs[d].reshape(-1, HIDDEN).T).reshape(-1, steps, n) for d in (0, 1))
-    one += two[:, ::-1]
-    one += (p["c"][1:] - p["c"][0])[:, None, None]
-    gain = one.max(0)
+    # a product for each step: larger ones would start threads, which wait busily in every task
+    gain = np.empty((steps, n), hs.dtype)
+    over = (p["c"][1:] - p["c"][0])[:, None]
+    for t in range(steps):
+        np.max(w[0].T @ hs[0, t].T + w[1].T @ hs[1, steps - 1 - t].T + over, axis=0, out=gain[t])
     t_ = p["T"] + allowed() - p["T"][0, 0]
     into, inside, out = t_[0, 1:].max(), t_[1:, 1:].max(), t_[1:, 0].max()
     run = gain[0].copy()
