@@ -395,17 +395,17 @@ for _name in scenarios.SCENARIOS:
 
 @table_query
 def stream_ingest(spark, d):
-    """The spans as JSON files, streamed into a store; returns the notices."""
+    """The spans as JSON files, streamed into a store; returns the sum of the notices and the spans stored."""
     from ..sources.store import SpanStore
     from ..storage import new_path
-    from ..streaming import ingest
+    from ..streaming import ingest, notices
 
     base = new_path(spark, "stream")
     s = span_view(spark, d)
     s.select(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "service", "operation", F.col("start_ms").alias("startMs"), F.col("duration_ms").alias("durationMs"), "status").write.json(f"{base}/in")
     store = SpanStore(spark, f"{base}/store")
     ingest.start(spark, f"{base}/in", store, f"{base}/notices", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/notices").agg(F.sum("span_count").alias("accepted"), F.lit(store.spans().count()).cast("long").alias("stored"))
+    return notices.read(spark, f"{base}/notices").agg(F.sum("span_count").alias("accepted"), F.lit(store.spans().count()).cast("long").alias("stored"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanalytics import schema
-from spanalytics.plans import api
+from spanalytics.plans import api, queries
 from spanalytics.sources import native, otlp, scenarios
 from spanalytics.sources.store import SpanStore
 from spanalytics.streaming import ingest, notices
@@ -178,6 +178,14 @@ def test_stream(spark, tmp_path):
     assert got.filter("event = 'ready'").count() == 2
 
 
+def test_stream_query_reads_all_notices(spark, tmp_path):
+    """The notices lie in a folder each: one that the stream is ready, one of each batch."""
+    rows = [(i, f"2024-01-0{1 + i % 3} 10:00:00", i % 4, "view", i / 2, f"{{k:{i}}}") for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in queries.QUERIES["stream_ingest"](spark, str(tmp_path)).collect()] == [(40, 40)]
+
+
 def test_notices(spark, tmp_path):
     store, at = SpanStore(spark, str(tmp_path / "s")), str(tmp_path / "notices")
     api.run_scenario(store, "stable", 4, notices=at)
