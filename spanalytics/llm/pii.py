@@ -28,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 #: Characters of a window and from one to the next, and of a window of the training.
 WIDTH, STRIDE, LEARNT = 256, 208, 64
+#: Windows that Viterbi decodes at a time.
+DECODED = 256
 HIDDEN = 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -108,33 +110,39 @@ def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def states(p, x: np.ndarray, tape: list | None = None) -> np.ndarray:
-    """Hidden states (2, steps, n, HIDDEN) of windows of symbols (steps, n); the second direction's are in reverse order."""
+    """Hidden states (2, steps, n, HIDDEN) of windows of symbols (steps, n); the second direction's are in reverse order.
+
+    One direction after the other, so that what a step works on stays in a core's cache.
+    """
     steps, n = x.shape
     kind, h_ = p["X"].dtype, HIDDEN
     # the gates' slope and middle are put into the weights
     slope, middle = (np.array(v, kind)[:, None, None] for v in ([0.25, 0.25, 0.25, 1], [0.5, 0.5, 0.5, 0]))
     table, u = p["X"] * slope + middle, p["U"] * slope
     hs = np.empty((2, steps, n, h_), kind)
-    a, b = np.empty((2, 4, n, h_), kind), np.empty((2, 4, n, h_), kind)
-    c, h, work = (np.zeros((2, n, h_), kind) for _ in range(3))
-    for t in range(steps):
-        for d, row in enumerate((x[t], x[-1 - t])):
+    if tape is not None:
+        tape += [tuple(np.empty((2, *more, n, h_), kind) for more in ((4,), (), ())) for _ in range(steps)]
+    a, b = np.empty((4, n, h_), kind), np.empty((4, n, h_), kind)
+    f, i, o, new = a
+    c, work = np.empty((n, h_), kind), np.empty((n, h_), kind)
+    x = x.astype(np.intp)
+    for d in (0, 1):
+        c[:], h = 0, np.zeros((n, h_), kind)
+        for t in range(steps):
             for gate in range(4):
-                np.take(table[d, gate], row, axis=0, out=a[d, gate], mode="clip")
-        a += np.matmul(h[:, None], u, out=b)
-        for d in (0, 1):
-            np.clip(a[d, :3], 0, 1, out=a[d, :3])
-            np.clip(a[d, 3], -1, 1, out=a[d, 3])
-        if tape is not None:
-            tape.append((a.copy(), c.copy(), h.copy()))
-        for d in (0, 1):
-            f, i, o, new = a[d]
-            np.multiply(c[d], f, out=c[d])
-            np.multiply(i, new, out=work[d])
-            c[d] += work[d]
-            np.clip(c[d], -1, 1, out=h[d])
-            h[d] *= o
-            hs[d, t] = h[d]
+                table[d, gate].take(x[t] if d == 0 else x[-1 - t], 0, a[gate], "clip")
+            a += np.matmul(h, u[d], out=b)
+            a[:3].clip(0, 1, out=a[:3])
+            new.clip(-1, 1, out=new)
+            if tape is not None:
+                for to, now in zip(tape[t], (a, c, h)):
+                    to[d] = now
+            np.multiply(c, f, out=c)
+            np.multiply(i, new, out=work)
+            c += work
+            h = hs[d, t]
+            c.clip(-1, 1, out=h)
+            h *= o
     return hs
 
 
@@ -207,19 +215,23 @@ def allowed() -> np.ndarray:
 
 
 def viterbi(p, s: np.ndarray) -> np.ndarray:
-    """Best paths (steps, n). The first tag may be an inside one: the span begins before the window."""
+    """Best paths (steps, n). The first tag may be an inside one: the span begins before the window.
+
+    The tag before one is sought on the way back, for the path's tag alone.
+    """
     steps, n, _ = s.shape
     t_ = p["T"] + allowed()
-    best = s[0]
-    back = np.empty((steps, n, TAGS), np.int8)
+    best = np.empty((steps, TAGS, n), np.result_type(s, t_))
+    best[0] = s[0].T
+    m = np.empty((TAGS, TAGS, n), best.dtype)
     for t in range(1, steps):
-        m = best[:, :, None] + t_
-        back[t] = m.argmax(1)
-        best = m.max(1) + s[t]
+        np.add(best[t - 1][:, None], t_[:, :, None], out=m)
+        m.max(0, out=best[t])
+        best[t] += s[t].T
     path = np.empty((steps, n), np.int8)
-    path[-1] = best.argmax(1)
+    path[-1] = best[-1].argmax(0)
     for t in range(steps - 1, 0, -1):
-        path[t - 1] = back[t][np.arange(n), path[t]]
+        path[t - 1] = (best[t - 1].T + t_.T[path[t]]).argmax(1)
     return path
 
 
@@ -235,8 +247,12 @@ def undecided(p, hs: np.ndarray) -> np.ndarray:
     # a product for each step: larger ones would start threads, which wait busily in every task
     gain = np.empty((steps, n), hs.dtype)
     over = (p["c"][1:] - p["c"][0])[:, None]
+    one, two = (np.empty((TAGS - 1, n), hs.dtype) for _ in range(2))
     for t in range(steps):
-        np.max(w[0].T @ hs[0, t].T + w[1].T @ hs[1, steps - 1 - t].T + over, axis=0, out=gain[t])
+        np.matmul(w[0].T, hs[0, t].T, out=one)
+        one += np.matmul(w[1].T, hs[1, steps - 1 - t].T, out=two)
+        one += over
+        one.max(0, out=gain[t])
     t_ = p["T"] + allowed() - p["T"][0, 0]
     into, inside, out = t_[0, 1:].max(), t_[1:, 1:].max(), t_[1:, 0].max()
     run = gain[0].copy()
@@ -426,22 +442,22 @@ def network_spans(p, texts: list[str], step: int = 1024) -> list[list[Span]]:
         at = first[None, :] + np.arange(steps)[:, None]
         x = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], PAD)
         hs = states(p, x)
-        some = undecided(p, hs)
-        if not len(some):
-            continue
-        score = emissions(p, hs[:, :, some])
-        path = viterbi(p, score)
-        gain = np.take_along_axis(score, path[:, :, None].astype(np.int64), 2)[:, :, 0] - score[:, :, 0]
-        begin = path % 2 == 1
-        begin[0] |= path[0] > 0
-        for r, t in zip(*np.nonzero(begin.T)):
-            w = part[some[r]]
-            kind, e, last = (int(path[t, r]) - 1) // 2, int(t) + 1, int(long[w])
-            while e < last and path[e, r] == 2 + 2 * kind:
-                e += 1
-            s = int(start[w])
-            if t < last:
-                pieces[owner[w]].append((int(number[w]), kind, s + int(t), s + e, float(gain[t:e, r].sum()), t == 0 and s > 0, e == last and s + e < sizes[owner[w]]))
+        left = undecided(p, hs)
+        for some in (left[i : i + DECODED] for i in range(0, len(left), DECODED)):
+            score = emissions(p, hs[:, :, some])
+            path = viterbi(p, score)
+            gain = np.take_along_axis(score, path[:, :, None].astype(np.int64), 2)[:, :, 0] - score[:, :, 0]
+            begin = path % 2 == 1
+            begin[0] |= path[0] > 0
+            for r, t in zip(*np.nonzero(begin.T)):
+                w = part[some[r]]
+                kind, e, last = (int(path[t, r]) - 1) // 2, int(t) + 1, int(long[w])
+                while e < last and path[e, r] == 2 + 2 * kind:
+                    e += 1
+                s = int(start[w])
+                if t < last:
+                    pieces[owner[w]].append((int(number[w]), kind, s + int(t), s + e, float(gain[t:e, r].sum()), t == 0 and s > 0, e == last and s + e < sizes[owner[w]]))
+        del hs  # or it would be there beside the next one
     return [schedule(joined(f)) for f in pieces]
 
 
