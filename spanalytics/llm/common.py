@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -124,6 +125,21 @@ def free(taken: list[str], names: list[str]) -> list[str]:
     return out
 
 
+def tidy(run):
+    """``run``, a generator over batches, that gives what it freed back to the system at its end: Python workers live on from task
+    to task, and what their allocators keep for later counts against the executor's memory meanwhile."""
+
+    def tidied(it):
+        try:
+            yield from run(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return tidied
+
+
 def arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """mapInArrow with a generator of dicts of columns, by name, for each batch."""
     ship(df.sparkSession)
@@ -134,7 +150,7 @@ def arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
         for cols in run(it):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in fields], schema=fields)
 
-    return df.mapInArrow(mapped, kind)
+    return df.mapInArrow(tidy(mapped), kind)
 
 
 def per_text(docs: DataFrame, keep: list[str], results: str, work) -> DataFrame:
@@ -158,4 +174,4 @@ def per_text(docs: DataFrame, keep: list[str], results: str, work) -> DataFrame:
                 new = [pa.array(x, f.type) for x, f in zip(work(texts[a:b]), list(fields)[len(keep) :])]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(own + new, fields)], schema=fields)
 
-    return docs.select(*map(quoted, keep), F.col("text").alias(free(keep, ["text_in"])[0])).mapInArrow(mapped, kind)
+    return docs.select(*map(quoted, keep), F.col("text").alias(free(keep, ["text_in"])[0])).mapInArrow(tidy(mapped), kind)

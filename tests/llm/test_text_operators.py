@@ -147,6 +147,19 @@ def test_pii_memory_of_undecided_windows():
     assert len(read) == 1 and peak < 2 * states
 
 
+def test_workers_give_memory_back():
+    """What a task freed leaves the process, though something that came later stays."""
+    resident, kept = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096, []
+
+    def run(it):
+        rows = [np.ones(10_000) for _ in it]  # each too small to be mapped by itself
+        kept.append(np.ones(10_000))
+        yield len(rows)
+
+    before = resident()
+    assert list(common.tidy(run)(range(2500))) == [2500] and resident() - before < 80e6
+
+
 def test_pii_network_on_labelled_texts():
     """Recall and precision on labelled texts that it was not trained on, whatever their windows."""
     p, r = pii.train(), random.Random(77)
